@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, simhash, token_counts
+from tessera.llm import exact_dedup, langid, quality, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": langid.op2_language_id,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_quality": quality.op10_quality,
     }
 
 
