@@ -76,10 +76,10 @@ class Model:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         sets = [distinct_words(t) for t in texts]
-        new = set().union(*sets) - self.cache.keys() if sets else set()
+        new = [w for w in set().union(*sets) if w not in self.cache]
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = set().union(*sets)
+            new = list(set().union(*sets))
         words = sorted(new)
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
