@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, batch: int = 1024) -> None:
     """Arrow batches small enough that two workers of long texts fit an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, langid, packing, quality, simhash, token_counts, toxicity
+from tessera.llm import exact_dedup, langid, lm, packing, quality, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_language_id": langid.op2_language_id,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_lm_scoring": lm.op4_lm_scoring,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
