@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, langid, lm, packing, quality, simhash, token_counts, toxicity
+from tessera.llm import exact_dedup, langid, lm, packing, quality, simhash, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_lm_scoring": lm.op4_lm_scoring,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
