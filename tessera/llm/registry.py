@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, langid, lm, packing, quality, simhash, substrings, token_counts, toxicity
+from tessera.llm import decontamination, exact_dedup, langid, lm, packing, quality, simhash, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_language_id": langid.op2_language_id,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_lm_scoring": lm.op4_lm_scoring,
