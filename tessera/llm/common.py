@@ -57,6 +57,16 @@ def held_out(doc_id: str | Column, parts: int, rest: int) -> Column:
     return F.coalesce(fold(doc_id, parts) == rest, F.lit(False))
 
 
+#: Ids that are broadcast at most (some tens of MB); beyond, the rows are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in dropped. Rows without an id stay: nothing names them."""
+    dropped = written(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def partitions_for(rows: int, each: int) -> int:
     """As many partitions as keep about `each` rows in one, with no upper limit."""
     return max(1, -(-rows // each))
