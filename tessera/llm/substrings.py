@@ -10,9 +10,11 @@ run of 7 words.
    runs into buckets; a bucket tells each chunk which of its runs hit a block
    of a smaller document, and which of its blocks were hit by a larger one.
 2. Hits are extended: the windows around a hit, on both sides, are compared by
-   128-bit digests of their words, again in buckets, where only the
+   96-bit digests of their words, again in buckets, where only the
    smallest document of each window matters; a chunk learns which of its windows
-   repeat. Neighbouring windows join into maximal exact repeats.
+   stand in smaller documents elsewhere. Neighbouring windows join into maximal
+   exact repeats. Answers are bits in the order of the questions, which a chunk
+   works out again.
 3. Words in repeats are removed.
 
 All questions are asked once for each chunk and distinct run or window, so a passage that
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import CHUNK_BATCH, chunk_store, expand, squash, unpack_lines
-from tessera.llm.common import documents, partitions_for, tune
+from tessera.llm.common import documents, partitions_for, tune, written
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2  # the longest block that every window holds wherever it starts
@@ -79,15 +81,30 @@ def rolling(hashes: np.ndarray, k: int, mul: np.uint64) -> np.ndarray:
     return out
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit values compressed with their byte planes apart."""
+    return squash(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted uint64 as compressed differences, byte planes apart."""
-    step = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return squash(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Sorted uint64 as compressed differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(expand(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unplanes(blob), dtype=np.uint64)
+
+
+def pack_bits(flags: np.ndarray) -> bytes:
+    return squash(np.packbits(flags).tobytes())
+
+
+def unpack_bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(expand(blob), np.uint8), count=n).astype(bool)
 
 
 def dealt(values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -108,13 +125,71 @@ def least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], values[first]
 
 
-PREFIX = 40  # bits of a run's hash that travel; a bucket's range gives more, and step 2 is exact
+SPARE_BITS = 12
 
 
-def _shorten(h: np.ndarray) -> np.ndarray:
-    """Hashes cut to PREFIX + 8 leading bits."""
-    drop = np.uint64(64 - PREFIX - 8)
-    return (h >> drop) << drop
+def travelling_bits(size: int) -> int:
+    """Leading bits of a run's hash that travel: so many that about one run in 2**SPARE_BITS
+    meets a block by chance, whatever the size of the corpus in bytes. Step 2 is exact."""
+    return min(64, max(24, int(np.ceil(np.log2(size / 6 + 2)))) + SPARE_BITS)
+
+
+class Anchors:
+    """Runs of BLOCK words of a chunk: distinct hashes, and those of the aligned blocks."""
+
+    def __init__(self, w: Words, bits: int) -> None:
+        drop = np.uint64(64 - bits)
+        self.at = w.runs(BLOCK)
+        h = (rolling(w.hash, BLOCK, _MUL)[self.at] >> drop) << drop
+        self.keys, self.index = np.unique(h, return_inverse=True)
+        self.aligned = w.place[self.at] % BLOCK == 0
+        self.blocks, self.low = least_by(h[self.aligned], w.ids[w.doc[self.at[self.aligned]]])
+        self.block_index = np.searchsorted(self.blocks, h[self.aligned])
+
+    def marked(self, w: Words, answers: list, buckets: int) -> np.ndarray:
+        """Words where a run starts that hit a block, or a block that was hit."""
+        hit, used = np.zeros(len(self.keys), bool), np.zeros(len(self.blocks), bool)
+        runs, own = dict(dealt(self.keys, buckets)), dict(dealt(self.blocks, buckets))
+        for one in answers:
+            b = one["bucket"]
+            hit[runs[b]] = unpack_bits(one["hit"], runs[b].stop - runs[b].start)
+            if b in own:
+                used[own[b]] = unpack_bits(one["used"], own[b].stop - own[b].start)
+        found = hit[self.index]
+        found[self.aligned] |= used[self.block_index]
+        out = np.zeros(len(w.hash) + 1, np.int64)
+        out[self.at[found]] = 1
+        return out
+
+
+class Windows:
+    """Windows of a chunk that hold a marked run: distinct digests with their least document."""
+
+    def __init__(self, w: Words, marked: np.ndarray) -> None:
+        before = np.r_[0, np.cumsum(marked)]
+        start = w.runs(WINDOW)
+        self.start = start = start[before[start + WINDOW - BLOCK + 1] > before[start]]
+        h, h2 = rolling(w.hash, WINDOW, _MUL)[start], (rolling(w.hash2, WINDOW, _MUL2)[start] >> np.uint64(32)).astype(np.uint32)
+        self.ids = w.ids[w.doc[start]]
+        order = np.lexsort((self.ids, h2, h))
+        h, h2 = h[order], h2[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])] if len(h) else np.zeros(0, bool)
+        self.index = np.empty(len(order), np.int64)
+        self.index[order] = np.cumsum(new) - 1
+        self.h, self.h2, self.low = h[new], h2[new], self.ids[order][new]
+
+    def covered(self, w: Words, answers: list, buckets: int) -> np.ndarray:
+        """Words in a window that also starts in a smaller document, in this chunk or another."""
+        earlier = np.zeros(len(self.h), bool)
+        where = dict(dealt(self.h, buckets))
+        for one in answers:
+            s = where[one["bucket"]]
+            earlier[s] = unpack_bits(one["earlier"], s.stop - s.start)
+        start = self.start[earlier[self.index] | (self.ids > self.low[self.index])]
+        edge = np.zeros(len(w.hash) + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + WINDOW, -1)
+        return np.cumsum(edge)[:-1] > 0
 
 
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]):
@@ -125,132 +200,79 @@ def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
 
 
-def anchor_answers(store: DataFrame, buckets: int) -> DataFrame:
-    """chunk_id, probes (runs of the chunk that hit a block of a smaller document, packed), blocks (blocks that a larger one hits)."""
+def anchor_answers(store: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """chunk_id, bucket, hit (of the chunk's runs in the bucket, those that meet a block of a smaller document), used (of its blocks, those that a larger one meets), as bits."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids, n, blob in _columns(batch, ("chunk_id", "ids", "n", "lines")):
                 w = Words(ids, unpack_lines(blob, n))
-                at = w.runs(BLOCK)
-                h = _shorten(rolling(w.hash, BLOCK, _MUL)[at])
-                probes = np.unique(h)
-                block = w.place[at] % BLOCK == 0
-                keys, low = least_by(h[block], w.ids[w.doc[at[block]]])
-                # the largest document of the chunk that holds the run is enough to know whether a block is hit
-                top = int(w.ids.max()) if len(w.ids) else 0
-                rows: list[tuple] = []
-                where = dict(dealt(keys, buckets))
-                for b, s in dealt(probes, buckets):
+                if not len(w.hash):
+                    continue
+                anchors, where = Anchors(w, bits), {}
+                where = dict(dealt(anchors.blocks, buckets))
+                base, top = int(w.ids.min()), int(w.ids.max())
+                rows = []
+                for b, s in dealt(anchors.keys, buckets):
                     mine = where.get(b, slice(0, 0))
-                    rows.append((b, chunk, top, pack_sorted(probes[s]), pack_sorted(keys[mine]), squash(low[mine].astype("<i8").tobytes())))
+                    rows.append((b, chunk, base, top, pack_sorted(anchors.keys[s]), pack_sorted(anchors.blocks[mine]), planes(anchors.low[mine] - base)))
                 if rows:
-                    yield _batch(list(map(list, zip(*rows, strict=True))), [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "chunk_id", "top", "probes", "blocks", "low"])
+                    yield _batch(list(map(list, zip(*rows, strict=True))), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "chunk_id", "base", "top", "runs", "blocks", "low"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         blocks = [unpack_sorted(b) for b in group["blocks"]]
-        lows = [np.frombuffer(expand(b), "<i8") for b in group["low"]]
+        lows = [unplanes(x).view("<i8") + base for x, base in zip(group["low"], group["base"], strict=True)]
         keys, low = least_by(np.concatenate(blocks), np.concatenate(lows))
         high = np.full(len(keys), np.iinfo(np.int64).min)
-        probes = [unpack_sorted(b) for b in group["probes"]]
         hits = []
-        for p, top in zip(probes, group["top"], strict=True):
-            at = np.minimum(np.searchsorted(keys, p), max(len(keys) - 1, 0))
-            ok = (keys[at] == p) if len(keys) else np.zeros(len(p), bool)
-            high[at[ok]] = np.maximum(high[at[ok]], top)
-            hits.append(p[ok & (low[at] < top)] if len(keys) else p[:0])
-        used = []
-        for b, l in zip(blocks, lows, strict=True):
-            at = np.searchsorted(keys, b)
-            used.append(b[high[at] > l])
-        keep = [bool(len(h) or len(u)) for h, u in zip(hits, used, strict=True)]
-        return pd.DataFrame({"chunk_id": group["chunk_id"], "probes": [pack_sorted(x) for x in hits], "blocks": [pack_sorted(x) for x in used]})[keep]
-
-    asked = store.mapInArrow(ask, "bucket int, chunk_id long, top long, probes binary, blocks binary, low binary")
-    return asked.groupBy("bucket").applyInPandas(meet, "chunk_id long, probes binary, blocks binary")
-
-
-def windows_of(w: Words, hits: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a run that hit, or a block that was hit."""
-    at = w.runs(BLOCK)
-    h = _shorten(rolling(w.hash, BLOCK, _MUL)[at])
-    marked = np.zeros(len(w.hash) + 1, np.int64)
-    marked[at[np.isin(h, hits) | (np.isin(h, used) & (w.place[at] % BLOCK == 0))]] = 1
-    before = np.r_[0, np.cumsum(marked)]
-    start = w.runs(WINDOW)
-    return start[before[start + WINDOW - BLOCK + 1] > before[start]]
-
-
-def _digests(w: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return rolling(w.hash, WINDOW, _MUL)[start], rolling(w.hash2, WINDOW, _MUL2)[start]
-
-
-def _gathered(packed: list) -> np.ndarray:
-    return np.concatenate([unpack_sorted(p) for p in packed]) if packed else np.zeros(0, np.uint64)
-
-
-def window_answers(marked: DataFrame, buckets: int) -> DataFrame:
-    """chunk_id, seen: windows of the chunk (first half of the digest, second half, smallest document anywhere)."""
+        for packed, top in zip(group["runs"], group["top"], strict=True):
+            runs = unpack_sorted(packed)
+            if not len(keys):
+                hits.append(np.zeros(len(runs), bool))
+                continue
+            at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            ok = keys[at] == runs
+            high[at[ok]] = np.maximum(high[at[ok]], top)  # the chunk's largest document may hold it: step 2 decides
+            hits.append(ok & (low[at] < top))
+        used = [high[np.searchsorted(keys, b)] > mine for b, mine in zip(blocks, lows, strict=True)]
+        keep = [bool(h.any() or u.any()) for h, u in zip(hits, used, strict=True)]
+        return pd.DataFrame({"chunk_id": group["chunk_id"], "bucket": group["bucket"], "hit": [pack_bits(x) for x in hits], "used": [pack_bits(x) for x in used]})[keep]
+
+    asked = store.mapInArrow(ask, "bucket int, chunk_id long, base long, top long, runs binary, blocks binary, low binary")
+    return asked.groupBy("bucket").applyInPandas(meet, "chunk_id long, bucket int, hit binary, used binary")
+
+
+def window_answers(marked: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """chunk_id, bucket, earlier: of the chunk's marked windows in the bucket, those that a document smaller than any of the chunk's holds."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, ids, n, blob, probes, blocks in _columns(batch, ("chunk_id", "ids", "n", "lines", "probes", "blocks")):
-                if not probes:
-                    continue
+            for chunk, ids, n, blob, anchors in _columns(batch, ("chunk_id", "ids", "n", "lines", "anchors")):
                 w = Words(ids, unpack_lines(blob, n))
-                start = windows_of(w, _gathered(probes), _gathered(blocks))
-                h, h2 = _digests(w, start)
-                ids_of = w.ids[w.doc[start]]
-                order = np.lexsort((ids_of, h2, h))
-                h, h2, ids_of = h[order], h2[order], ids_of[order]
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]) if len(h) else np.zeros(0, np.int64)
-                last = np.r_[new[1:], len(h)] - 1 if len(new) else new
-                h, h2, low, top = h[new], h2[new], ids_of[new], ids_of[last]
-                rows = [(b, chunk, pack_sorted(h[s]), squash(h2[s].tobytes()), squash(low[s].tobytes()), squash(top[s].tobytes())) for b, s in dealt(h, buckets)]
+                found = Windows(w, Anchors(w, bits).marked(w, anchors, buckets))
+                base = int(w.ids.min())
+                rows = [(b, chunk, base, pack_sorted(found.h[s]), squash(found.h2[s].tobytes()), planes(found.low[s] - base)) for b, s in dealt(found.h, buckets)]
                 if rows:
-                    yield _batch(list(map(list, zip(*rows, strict=True))), [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["bucket", "chunk_id", "h", "h2", "low", "top"])
+                    yield _batch(list(map(list, zip(*rows, strict=True))), [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3], ["bucket", "chunk_id", "base", "h", "h2", "low"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        h = [unpack_sorted(b) for b in group["h"]]
-        h2, low, top = ([np.frombuffer(expand(b), t) for b in group[c]] for c, t in (("h2", np.uint64), ("low", np.int64), ("top", np.int64)))
-        size = [len(x) for x in h]
+        h, h2 = [unpack_sorted(b) for b in group["h"]], [np.frombuffer(expand(b), np.uint32) for b in group["h2"]]
+        low = [unplanes(x).view("<i8") + base for x, base in zip(group["low"], group["base"], strict=True)]
         all_h, all_h2, all_low = np.concatenate(h), np.concatenate(h2), np.concatenate(low)
         order = np.lexsort((all_low, all_h2, all_h))
         first = np.r_[True, (all_h[order][1:] != all_h[order][:-1]) | (all_h2[order][1:] != all_h2[order][:-1])]
         least = np.empty(len(order), np.int64)
         least[order] = all_low[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        out, a = [], 0
-        for n, x, y, t in zip(size, h, h2, top, strict=True):
-            mine = least[a : a + n]
-            a += n
-            ok = mine < t  # some document of the chunk repeats it
-            out.append(squash(np.concatenate([x[ok], y[ok], mine[ok].view(np.uint64)]).tobytes()) if ok.any() else None)
-        found = pd.DataFrame({"chunk_id": group["chunk_id"], "seen": out})
-        return found[found["seen"].notna()]
-
-    asked = marked.mapInArrow(ask, "bucket int, chunk_id long, h binary, h2 binary, low binary, top binary")
-    return asked.groupBy("bucket").applyInPandas(meet, "chunk_id long, seen binary")
-
-
-def repeats(w: Words, seen: list[bytes]) -> np.ndarray:
-    """Whether each word of the chunk lies in a window that repeats."""
-    covered = np.zeros(len(w.hash) + 1, np.int64)
-    if seen:
-        table = np.concatenate([np.frombuffer(expand(b), np.uint64).reshape(3, -1) for b in seen], axis=1)
-        table = table[:, np.lexsort((table[1], table[0]))]
-        start = w.runs(WINDOW)
-        h, h2 = _digests(w, start)
-        near = np.isin(h, table[0])
-        start, h, h2 = start[near], h[near], h2[near]
-        both = table[0] ^ (table[1] * _MUL)  # one key for the pair; equality is checked on the pair below
-        order = np.argsort(both, kind="stable")
-        key = h ^ (h2 * _MUL)
-        at = np.minimum(np.searchsorted(both[order], key), len(order) - 1)
-        row = order[at]
-        ok = (table[0][row] == h) & (table[1][row] == h2) & (table[2][row].view(np.int64) < w.ids[w.doc[start]])
-        np.add.at(covered, start[ok], 1)
-        np.add.at(covered, start[ok] + WINDOW, -1)
-    return np.cumsum(covered)[:-1] > 0
+        out, at = [], 0
+        for mine in low:
+            flags = least[at : at + len(mine)] < mine
+            at += len(mine)
+            out.append(pack_bits(flags) if flags.any() else None)
+        found = pd.DataFrame({"chunk_id": group["chunk_id"], "bucket": group["bucket"], "earlier": out})
+        return found[found["earlier"].notna()]
+
+    asked = marked.mapInArrow(ask, "bucket int, chunk_id long, base long, h binary, h2 binary, low binary")
+    return asked.groupBy("bucket").applyInPandas(meet, "chunk_id long, bucket int, earlier binary")
 
 
 def substring_dedup(docs: DataFrame, spans: bool = False) -> DataFrame:
@@ -260,14 +282,18 @@ def substring_dedup(docs: DataFrame, spans: bool = False) -> DataFrame:
     store = chunk_store(docs, False)
     size = store.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(partitions_for(size, 16_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hits = anchor_answers(store, buckets).groupBy("chunk_id").agg(F.collect_list("probes").alias("probes"), F.collect_list("blocks").alias("blocks"))
-    seen = window_answers(store.join(hits, "chunk_id"), buckets).groupBy("chunk_id").agg(F.collect_list("seen").alias("seen"))
+    bits = travelling_bits(size)
+    anchors = written(anchor_answers(store, buckets, bits), "anchors").groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "hit", "used")).alias("anchors"))
+    seen = window_answers(store.join(anchors, "chunk_id"), buckets, bits).groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "earlier")).alias("seen"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, n, blob, found in _columns(batch, ("ids", "n", "lines", "seen")):
+            for ids, n, blob, hits, found in _columns(batch, ("ids", "n", "lines", "anchors", "seen")):
                 w = Words(ids, unpack_lines(blob, n))
-                gone = repeats(w, found or [])
+                if hits:
+                    gone = Windows(w, Anchors(w, bits).marked(w, hits, buckets)).covered(w, found or [], buckets)
+                else:
+                    gone = np.zeros(len(w.hash), bool)
                 removed, digest, where, kept = [], [], [], []
                 for words, a, m in zip(w.lines, w.starts.tolist(), w.sizes.tolist(), strict=True):
                     mine = gone[a : a + m]
@@ -284,7 +310,7 @@ def substring_dedup(docs: DataFrame, spans: bool = False) -> DataFrame:
                     columns, kinds, names = [*columns, where, kept], [*kinds, pa.list_(pa.list_(pa.int64())), pa.string()], [*names, "spans", "kept"]
                 yield _batch(columns, kinds, names)
 
-    joined = store.join(seen, "chunk_id", "left").select("ids", "n", "lines", "seen")
+    joined = store.join(anchors, "chunk_id", "left").join(seen, "chunk_id", "left").select("ids", "n", "lines", "anchors", "seen")
     tune(spark, CHUNK_BATCH)
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", spans array<array<long>>, kept string" if spans else ""))
 
