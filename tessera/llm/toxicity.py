@@ -29,11 +29,11 @@ from tessera.llm.common import documents, held_out, tune, written
 from tessera.llm.labelled import labelled_sample
 
 #: Bound of the labelled sample.
-LABELLED_ROWS = 12_000
+LABELLED_ROWS = 6_000
 ORDERS = (3, 4, 5)
 SLOTS = 1 << 18
 #: Features that enter the regression, so a bound on what the driver holds.
-SELECTED = 20_000
+SELECTED = 8_000
 ITERATIONS, RIDGE = 300, 3e-4
 CACHE = 500_000
 THRESHOLD = 0.7
@@ -96,8 +96,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndar
     """Weights over len(ratio) features of rows (feature, count) and an intercept, by Adam on the whole sample."""
     size = np.array([len(f) for f, _ in rows], np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
-    feature = np.concatenate([f for f, _ in rows]) if len(rows) else np.zeros(0, np.int64)
-    value = (np.concatenate([c for _, c in rows]) if len(rows) else np.zeros(0)) * ratio[feature]
+    owner, feature = owner.astype(np.int32), np.concatenate([f for f, _ in rows])
+    value = (np.concatenate([c for _, c in rows]) * ratio[feature]).astype(np.float32)
     w, share = np.zeros(len(ratio)), y.mean()
     b = np.log(share / (1 - share))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     got = sample.mapInArrow(vectors, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x binary").toPandas().sort_values("doc_id")
-    x = [np.frombuffer(b, "<i4").reshape(2, -1) for b in got["x"]]
-    w, b = fit([(r[0].astype(np.int64), r[1].astype(float)) for r in x], (got["y"].to_numpy() == 1).astype(float), ratio)
+    x = [np.frombuffer(b, "<i4").reshape(2, -1) for b in got.pop("x")]
+    w, b = fit([(r[0], r[1]) for r in x], (got["y"].to_numpy() == 1).astype(float), ratio)
     weight = np.zeros(SLOTS)
     weight[chosen] = w * ratio
     return Model(weight, b)
