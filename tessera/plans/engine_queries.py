@@ -1 +1,251 @@
-"""placeholder"""
+"""The boundary-graph half: matching, edges, regions and planar counts over the derived picture."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import color as C
+from tessera.operators import matching as M
+from tessera.operators import regions as R
+from tessera.operators.matching import Entry
+from tessera.plans import oracle as O
+from tessera.plans.registry import query
+from tessera.sources.raster import WIDTH, pixels
+
+PALETTE = [Entry("p0", "#C83232", True, tol=(0.08, 0.06, 0.10), priority=1), Entry("p1", "#2C40C8", True, tol=(0.10, 0.08, 0.12)), Entry("p2", "#78B45A", True, tol=(0.06, 0.05, 0.08), priority=2), Entry("p3", "#F0EBE1", True, tol=(0.05, 0.05, 0.05))]
+
+
+def _score_sql(e: Entry, threshold: float = 0.02) -> str:
+    import math
+
+    al, a, b = e.lab("engine")
+    ac, ah = math.hypot(a, b), math.atan2(b, a)
+    th, tc, tl = e.tol
+    t = f"least(1.0, greatest(0.0, least(c, {ac!r}) / {threshold}))"
+    chord = f"(2 * sqrt(c * {ac!r}) * sin(atan2(sin(h - ({ah!r})), cos(h - ({ah!r}))) / 2))"
+    return f"(pow((l - {al!r}) / {tl}, 2) + pow((c - {ac!r}) / {tc}, 2) + {t} * {t} * (3 - 2 * {t}) * pow({chord} / {th}, 2))"
+
+
+ECTE = f"WITH {O.PIXEL},\n{O.lab(half='engine')}"
+_SCORED = f"{ECTE}, scored AS MATERIALIZED (SELECT *, " + ", ".join(f"{_score_sql(e)} AS s{k}" for k, e in enumerate(PALETTE)) + " FROM lab)"
+_KEYS = ", ".join(f"(CAST(floor(s{k} * 1e9 + 0.5) AS BIGINT), {-e.priority}, {k}, s{k})" for k, e in enumerate(PALETTE))
+
+
+def lch(px):
+    l, a, b = C.oklab(*(C.unit(x) for x in "rgb"), "engine")
+    lab = px.withColumns({"l": l, "ok_a": a, "ok_b": b})
+    return lab.withColumns({"c": C.chroma(F.col("ok_a"), F.col("ok_b")), "h": F.atan2("ok_b", "ok_a")})
+
+
+def scores(v=F.col):
+    return [M.reach_score(v("l"), v("c"), v("h"), e) for e in PALETTE]
+
+
+@query("f_reach_score", f"{_SCORED} SELECT pixel_id, " + ", ".join(f"round(s{k}, 5) AS s{k}" for k in range(4)) + " FROM scored")
+def f_reach_score(spark, d):
+    return lch(pixels(spark, d)).select("pixel_id", *(F.round(s, 5).alias(f"s{k}") for k, s in enumerate(scores())))
+
+
+@query("flt_reach_engine", f"{_SCORED} SELECT pixel_id, " + ", ".join(f"s{k} <= 1 AS c{k}" for k in range(4)) + " FROM scored")
+def flt_reach_engine(spark, d):
+    return lch(pixels(spark, d)).select("pixel_id", *((s <= 1).alias(f"c{k}") for k, s in enumerate(scores())))
+
+
+@query("f_hue_weight", f"{ECTE} SELECT pixel_id, round(t * t * (3 - 2 * t), 5) AS weight FROM (SELECT pixel_id, least(1.0, greatest(0.0, least(c, 0.1) / 0.15)) AS t FROM lab)")
+def f_hue_weight(spark, d):
+    return lch(pixels(spark, d)).select("pixel_id", F.round(M.hue_weight(F.col("c"), F.lit(0.1), 0.15), 5).alias("weight"))
+
+
+@query("f_quantkey", "SELECT l_orderkey, l_linenumber, l_discount, CAST(floor(l_discount * 1e9 + 0.5) AS BIGINT) AS key FROM lineitem")
+def f_quantkey(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_discount", C.quant_key(F.col("l_discount")).alias("key"))
+
+
+_BEST = f"{_SCORED}, best AS MATERIALIZED (SELECT *, CASE " + " ".join(f"WHEN s{k} = least(s0, s1, s2, s3) THEN {k}" for k in range(4)) + " END AS label, least(s0, s1, s2, s3) AS score FROM scored)"
+
+
+def matched(px):
+    """Best entry by distinct colour, joined back: exact, and far fewer colours than pixels."""
+    work = lambda colours: lch(colours).withColumn("best", M.let(F.struct("l", "c", "h"), lambda v: M.best_match(scores(lambda n: v[n]), PALETTE)))
+    return M.by_distinct_colour(px, ["r", "g", "b"], work)
+
+
+@query("j_best_match", f"{_BEST} SELECT pixel_id, CAST(label AS BIGINT) AS label, score <= 1 AS claimed FROM best")
+def j_best_match(spark, d):
+    return matched(pixels(spark, d)).select("pixel_id", F.col("best.label").cast("long").alias("label"), (F.col("best.key") <= 10**9).alias("claimed"))
+
+
+@query("j_assign", f"{_BEST} SELECT CAST(CASE WHEN a = 0 THEN 0 ELSE label END AS BIGINT) AS owner, CAST(count(*) FILTER (a > 0 AND score <= 1) AS BIGINT) AS claimed, CAST(count(*) FILTER (a > 0 AND score > 1) AS BIGINT) AS unclaimed, CAST(count(*) FILTER (a = 0) AS BIGINT) AS transparent FROM best GROUP BY 1")
+def j_assign(spark, d):
+    px = matched(pixels(spark, d)).withColumn("claimed", F.col("best.key") <= 10**9)
+    owner = F.when(F.col("a") == 0, 0).otherwise(F.col("best.label")).cast("long").alias("owner")
+    return px.groupBy(owner).agg(F.count_if((F.col("a") > 0) & F.col("claimed")).alias("claimed"), F.count_if((F.col("a") > 0) & ~F.col("claimed")).alias("unclaimed"), F.count_if(F.col("a") == 0).alias("transparent"))
+
+
+@query("flt_color_evidence", f"WITH {O.PIXEL} SELECT pixel_id, a > 0 AS evidence FROM pixel")
+def flt_color_evidence(spark, d):
+    return pixels(spark, d).select("pixel_id", (F.col("a") > 0).alias("evidence"))
+
+
+@query("agg_label_hist", f"{_BEST} SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n FROM best GROUP BY label")
+def agg_label_hist(spark, d):
+    return matched(pixels(spark, d)).groupBy(F.col("best.label").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ edges, regions ----
+_EV = f"{ECTE}, ev AS MATERIALIZED (SELECT pixel_id, x, y, a / 255.0 AS alpha, zone AS claim, CASE WHEN a > 0 THEN l ELSE 0 END AS l, CASE WHEN a > 0 THEN ok_a ELSE 0 END AS ok_a, CASE WHEN a > 0 THEN ok_b ELSE 0 END AS ok_b FROM lab)"
+
+
+def _edge_sql() -> str:
+    parts = []
+    for k, (_, dx, dy, cx, cy) in enumerate(R.DIRECTIONS):
+        gap = lambda q: f"(sqrt(pow(p.l - {q}.l, 2) + pow(p.ok_a - {q}.ok_a, 2) + pow(p.ok_b - {q}.ok_b, 2)) / 1.5)"
+        colour = f"({gap('q')} / ({gap('q')} + 0.25))"
+        coarse = f"coalesce({gap('f')} / ({gap('f')} + 0.25), {colour})" if cx or cy else "0"
+        w = f"floor(least(1.0, ({colour} + 0.5 * least({colour}, {coarse}) + abs(p.alpha - q.alpha) + CASE WHEN p.claim = q.claim THEN 0 ELSE 0.25 END) / 2.75) * 65535 + 0.5)"
+        w = f"least(65535, floor({w} * sqrt(2) + 0.5))" if dx and dy else w
+        join = f"LEFT JOIN ev f ON f.x = p.x + {cx} AND f.y = p.y + {cy}" if cx or cy else ""
+        parts.append(f"SELECT p.pixel_id AS a, q.pixel_id AS b, {k} AS dir, CAST({w} AS BIGINT) AS weight FROM ev p JOIN ev q ON q.x = p.x + ({dx}) AND q.y = p.y + {dy} {join}")
+    return "edges AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+
+
+_EDGES = f"{_EV}, {_edge_sql()}"
+
+
+@query("f_edge_weight", f"{_EDGES} SELECT a, b, CAST(dir AS BIGINT) AS dir, weight FROM edges")
+@query("j_neighbour", f"{_EDGES} SELECT a, b, CAST(dir AS BIGINT) AS dir, weight FROM edges")
+def f_edge_weight(spark, d):
+    return R.edges(R.evidence(pixels(spark, d))).select("a", "b", F.col("dir").cast("long").alias("dir"), "weight")
+
+
+@query("srt_counting", f"{_EDGES} SELECT weight, CAST(count(*) AS BIGINT) AS edges, CAST(sum(count(*)) OVER (ORDER BY weight) - count(*) AS BIGINT) AS first_place FROM edges GROUP BY weight")
+def srt_counting(spark, d):
+    """Where each weight's edges start in sorted order; a running sum over at most 65,536 weights."""
+    from pyspark.sql import Window
+
+    n = R.edges(R.evidence(pixels(spark, d))).groupBy("weight").agg(F.count("*").alias("edges"))
+    return n.select("weight", "edges", (F.sum("edges").over(Window.orderBy("weight")) - F.col("edges")).alias("first_place"))
+
+
+_REGION = "label AS (SELECT pixel_id, (y // 9) * 9 + x // 12 AS region FROM ev)"
+_SIDES = "sides AS MATERIALIZED (SELECT least(p.region, q.region) AS low, greatest(p.region, q.region) AS high, count(*) AS boundary_length, sum(weight) AS weight_sum FROM edges JOIN label p ON p.pixel_id = a JOIN label q ON q.pixel_id = b WHERE dir < 2 AND p.region <> q.region GROUP BY 1, 2)"
+_SUMMARY = """base AS (SELECT region, count(*) AS area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, sum(l) AS sl, sum(ok_a) AS sa, sum(ok_b) AS sb, sum(l*l + ok_a*ok_a + ok_b*ok_b) AS sq, avg(alpha) AS alpha,
+ sum(CAST(x = 0 AS INT) + CAST(x = 99 AS INT) + CAST(y = 0 AS INT) + CAST(y = (SELECT max(y) FROM ev) AS INT)) AS rim FROM ev JOIN label USING (pixel_id) GROUP BY region),
+votes AS (SELECT region, claim, count(*) AS n FROM ev JOIN label USING (pixel_id) GROUP BY ALL), claims AS (SELECT region, claim FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY n DESC, claim) AS k FROM votes) WHERE k = 1),
+walls AS (SELECT region, sum(boundary_length) AS walls FROM (SELECT low AS region, boundary_length FROM sides UNION ALL SELECT high, boundary_length FROM sides) GROUP BY region),
+regions AS MATERIALIZED (SELECT base.*, claim, rim + coalesce(walls, 0) AS perimeter FROM base JOIN claims USING (region) LEFT JOIN walls USING (region))"""
+_GUARD = "least(1, greatest(0, 2 - 2.0 * area / perimeter)) * least(1, greatest(0, (perimeter * perimeter / (16.0 * area) - 1) / 3))"
+
+
+def _parts(spark, d):
+    px = pixels(spark, d)
+    ev = R.evidence(px)
+    labels = px.select("pixel_id", F.expr("(y div 9) * 9 + x div 12").alias("region"))
+    cost = R.edges(ev)
+    return ev, labels, cost, px.agg(F.max("y")).first()[0] + 1
+
+
+@query("j_adjacency", f"{_EDGES}, {_REGION}, {_SIDES} SELECT low, high, CAST(boundary_length AS BIGINT) AS boundary_length, CAST(weight_sum AS BIGINT) AS weight_sum FROM sides")
+@query("agg_region_adj", f"{_EDGES}, {_REGION}, {_SIDES} SELECT low, high, CAST(boundary_length AS BIGINT) AS boundary_length, CAST(weight_sum AS BIGINT) AS weight_sum FROM sides")
+def j_adjacency(spark, d):
+    _, labels, cost, _ = _parts(spark, d)
+    return R.adjacency(labels, cost)
+
+
+def _summary(spark, d):
+    ev, labels, cost, h = _parts(spark, d)
+    return R.summaries(ev, labels, cost, WIDTH, h), R.adjacency(labels, cost)
+
+
+@query("agg_region_summary", f"{_EDGES}, {_REGION}, {_SIDES}, {_SUMMARY} SELECT region, CAST(area AS BIGINT) AS area, x0, x1, y0, y1, round(sl, 5) AS sl, round(sq, 5) AS sq, round(alpha, 6) AS alpha, claim, CAST(perimeter AS BIGINT) AS perimeter FROM regions")
+def agg_region_summary(spark, d):
+    return _summary(spark, d)[0].select("region", "area", "x0", "x1", "y0", "y1", F.round("sl", 5).alias("sl"), F.round("sq", 5).alias("sq"), F.round("alpha", 6).alias("alpha"), "claim", F.col("perimeter").cast("long").alias("perimeter"))
+
+
+@query("f_protection", f"{_EDGES}, {_REGION}, {_SIDES}, {_SUMMARY} SELECT region, round({_GUARD}, 6) AS protection FROM regions")
+def f_protection(spark, d):
+    return _summary(spark, d)[0].select("region", F.round(R.protection(F.col("area").cast("double"), F.col("perimeter").cast("double")), 6).alias("protection"))
+
+
+@query("agg_stats_merge", f"{_EDGES}, {_REGION}, {_SIDES}, {_SUMMARY} SELECT low, high, round(a.area * b.area / (a.area + b.area) * (pow(a.sl / a.area - b.sl / b.area, 2) + pow(a.sa / a.area - b.sa / b.area, 2) + pow(a.sb / a.area - b.sb / b.area, 2)), 5) AS ward FROM sides JOIN regions a ON a.region = low JOIN regions b ON b.region = high")
+def agg_stats_merge(spark, d):
+    regions, sides = _summary(spark, d)
+    named = lambda p: regions.select(*(F.col(c).alias(p + c) for c in ("region", "area", "sl", "sa", "sb")))
+    return sides.join(named("a_"), F.col("low") == F.col("a_region")).join(named("b_"), F.col("high") == F.col("b_region")).select("low", "high", F.round(R.ward("a_", "b_"), 5).alias("ward"))
+
+
+@query("f_merge_cost", f"{_EDGES}, {_REGION}, {_SIDES}, {_SUMMARY}, g AS (SELECT *, {_GUARD} AS guard FROM regions) SELECT low, high, round((a.area * b.area / (a.area + b.area) * (pow(a.sl / a.area - b.sl / b.area, 2) + pow(a.sa / a.area - b.sa / b.area, 2) + pow(a.sb / a.area - b.sb / b.area, 2)) + CASE WHEN a.claim = b.claim THEN 0 ELSE 0.005 END + 0.04 * weight_sum / 65535.0 + 0.25 * CASE WHEN a.area <= b.area THEN a.guard ELSE b.guard END) / (boundary_length * greatest(a.area, b.area) / (a.area + b.area)), 5) AS cost FROM sides JOIN g a ON a.region = low JOIN g b ON b.region = high")
+def f_merge_cost(spark, d):
+    regions, sides = _summary(spark, d)
+    return R.merge_costs(regions, sides).select("low", "high", F.round("cost", 5).alias("cost"))
+
+
+@query("g_msf_partition")
+def g_msf_partition(spark, d):
+    cost = R.edges(R.evidence(pixels(spark, d))).withColumn("image_id", F.lit("events"))
+    return R.spanning_forest(cost)
+
+
+@query("g_region_merge")
+def g_region_merge(spark, d):
+    ev, _, cost, h = _parts(spark, d)
+    labels = R.spanning_forest(cost.withColumn("image_id", F.lit("events"))).select("pixel_id", "region")
+    regions = R.summaries(ev, labels, cost, WIDTH, h).withColumn("image_id", F.lit("events"))
+    return R.merge_regions(regions, R.adjacency(labels, cost).withColumn("image_id", F.lit("events")))
+
+
+# ------------------------------------------------------------- topology ----
+@query("win_ambiguity_2x2", f"WITH {O.PIXEL}, q AS (SELECT nw.x, nw.y, nw.noise // 3 AS a, ne.noise // 3 AS b, sw.noise // 3 AS c, se.noise // 3 AS d FROM pixel nw JOIN pixel ne ON ne.x = nw.x + 1 AND ne.y = nw.y JOIN pixel sw ON sw.x = nw.x AND sw.y = nw.y + 1 JOIN pixel se ON se.x = nw.x + 1 AND se.y = nw.y + 1) SELECT x, y FROM q WHERE a = d AND b = c AND a <> b")
+def win_ambiguity_2x2(spark, d):
+    px = pixels(spark, d).select("x", "y", F.expr("noise div 3").alias("v"))
+    at = lambda dx, dy, n: px.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias(n))
+    q = px.join(at(1, 0, "ne"), ["x", "y"]).join(at(0, 1, "sw"), ["x", "y"]).join(at(1, 1, "se"), ["x", "y"])
+    return q.where("v = se AND ne = sw AND v <> ne").select("x", "y")
+
+
+_DARTS = """lab4 AS (SELECT x, y, zone AS v FROM pixel),
+walls AS (SELECT p.x + 1 AS x0, p.y AS y0, p.x + 1 AS x1, p.y + 1 AS y1, p.v AS lft, coalesce(q.v, -1) AS rgt FROM lab4 p LEFT JOIN lab4 q ON q.x = p.x + 1 AND q.y = p.y WHERE q.v IS NULL OR p.v <> q.v
+ UNION ALL SELECT 0, y, 0, y + 1, -1, v FROM lab4 WHERE x = 0
+ UNION ALL SELECT p.x, p.y + 1, p.x + 1, p.y + 1, p.v, coalesce(q.v, -1) FROM lab4 p LEFT JOIN lab4 q ON q.x = p.x AND q.y = p.y + 1 WHERE q.v IS NULL OR p.v <> q.v
+ UNION ALL SELECT x, 0, x + 1, 0, -1, v FROM lab4 WHERE y = 0)"""
+
+
+def walls(px):
+    """Unit wall segments between pixels of different zones, and around the frame: x0, y0, x1, y1, lft, rgt."""
+    px = px.select("x", "y", F.col("zone").alias("v"))
+    right = px.join(px.select((F.col("x") - 1).alias("x"), "y", F.col("v").alias("w")), ["x", "y"], "left").where("w IS NULL OR v <> w")
+    down = px.join(px.select("x", (F.col("y") - 1).alias("y"), F.col("v").alias("w")), ["x", "y"], "left").where("w IS NULL OR v <> w")
+    row = lambda df, *c: df.select(*(F.expr(str(e)).cast("long").alias(n) for e, n in zip(c, ("x0", "y0", "x1", "y1", "lft", "rgt"), strict=True)))
+    return row(right, "x + 1", "y", "x + 1", "y + 1", "v", "coalesce(w, -1)").union(row(px.where("x = 0"), 0, "y", 0, "y + 1", -1, "v")).union(row(down, "x", "y + 1", "x + 1", "y + 1", "v", "coalesce(w, -1)")).union(row(px.where("y = 0"), "x", 0, "x + 1", 0, -1, "v"))
+
+
+@query("g_grid", f"WITH {O.PIXEL}, {_DARTS} SELECT * FROM walls")
+def g_grid(spark, d):
+    return walls(pixels(spark, d))
+
+
+_DEGREE = "ends AS (SELECT x0 AS x, y0 AS y FROM walls UNION ALL SELECT x1, y1 FROM walls), degree AS (SELECT x, y, count(*) AS degree FROM ends GROUP BY x, y)"
+
+
+def degrees(px):
+    w = walls(px)
+    return w.select(F.col("x0").alias("x"), F.col("y0").alias("y")).union(w.select("x1", "y1")).groupBy("x", "y").agg(F.count("*").alias("degree"))
+
+
+@query("agg_topology_counts", f"WITH {O.PIXEL}, {_DARTS}, {_DEGREE} SELECT CAST((SELECT count(*) FROM walls) AS BIGINT) AS walls, CAST(count(*) AS BIGINT) AS points, CAST(count(*) FILTER (degree <> 2) AS BIGINT) AS junctions FROM degree")
+def agg_topology_counts(spark, d):
+    px = pixels(spark, d)
+    return degrees(px).agg((F.sum("degree") / 2).cast("long").alias("walls"), F.count("*").alias("points"), F.count_if(F.col("degree") != 2).alias("junctions"))
+
+
+@query("j_twin", f"WITH {O.PIXEL}, {_DARTS}, darts AS (SELECT x0, y0, x1, y1, lft FROM walls UNION ALL SELECT x1, y1, x0, y0, rgt FROM walls) SELECT d.x0, d.y0, d.x1, d.y1, d.lft AS face, t.lft AS twin_face FROM darts d JOIN darts t ON t.x0 = d.x1 AND t.y0 = d.y1 AND t.x1 = d.x0 AND t.y1 = d.y0")
+def j_twin(spark, d):
+    w = walls(pixels(spark, d))
+    darts = w.select("x0", "y0", "x1", "y1", "lft").union(w.select("x1", "y1", "x0", "y0", "rgt"))
+    twin = darts.select(F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("lft").alias("twin_face"))
+    return darts.join(twin, ["x0", "y0", "x1", "y1"]).withColumnRenamed("lft", "face")
+
+
+@query("agg_face_area", f"WITH {O.PIXEL} SELECT zone AS face, CAST(count(*) AS BIGINT) AS area FROM pixel GROUP BY zone")
+def agg_face_area(spark, d):
+    return pixels(spark, d).groupBy(F.col("zone").alias("face")).agg(F.count("*").alias("area"))
