@@ -145,17 +145,26 @@ class Anchors:
         self.aligned = w.place[self.at] % BLOCK == 0
         self.blocks, self.low = least_by(h[self.aligned], w.ids[w.doc[self.at[self.aligned]]])
         self.block_index = np.searchsorted(self.blocks, h[self.aligned])
+        # what the chunk can tell by itself: a block and a run of it in two of its own documents
+        doc = w.ids[w.doc[self.at]]
+        high = np.full(len(self.keys), np.iinfo(np.int64).min)
+        np.maximum.at(high, self.index, doc)
+        place = np.searchsorted(self.keys, self.blocks)
+        least = np.full(len(self.keys), LAST)
+        least[place] = self.low
+        self.local = least[self.index] < doc
+        self.local[self.aligned] |= high[place][self.block_index] > doc[self.aligned]
 
     def marked(self, w: Words, answers: list, buckets: int) -> np.ndarray:
         """Words where a run starts that hit a block, or a block that was hit."""
         hit, used = np.zeros(len(self.keys), bool), np.zeros(len(self.blocks), bool)
         runs, own = dict(dealt(self.keys, buckets)), dict(dealt(self.blocks, buckets))
-        for one in answers:
+        for one in answers or []:
             b = one["bucket"]
             hit[runs[b]] = unpack_bits(one["hit"], runs[b].stop - runs[b].start)
             if b in own:
                 used[own[b]] = unpack_bits(one["used"], own[b].stop - own[b].start)
-        found = hit[self.index]
+        found = hit[self.index] | self.local
         found[self.aligned] |= used[self.block_index]
         out = np.zeros(len(w.hash) + 1, np.int64)
         out[self.at[found]] = 1
@@ -219,24 +228,43 @@ def anchor_answers(store: DataFrame, buckets: int, bits: int) -> DataFrame:
                 if rows:
                     yield _batch(list(map(list, zip(*rows, strict=True))), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "chunk_id", "base", "top", "runs", "blocks", "low"])
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        blocks = [unpack_sorted(b) for b in group["blocks"]]
-        lows = [unplanes(x).view("<i8") + base for x, base in zip(group["low"], group["base"], strict=True)]
-        keys, low = least_by(np.concatenate(blocks), np.concatenate(lows))
-        high = np.full(len(keys), np.iinfo(np.int64).min)
-        hits = []
-        for packed, top in zip(group["runs"], group["top"], strict=True):
-            runs = unpack_sorted(packed)
+    def meet(asked: pd.DataFrame) -> pd.DataFrame:
+        """Each chunk against the blocks and runs of the other chunks."""
+        blocks = [unpack_sorted(b) for b in asked["blocks"]]
+        lows = [unplanes(x).view("<i8") + base for x, base in zip(asked["low"], asked["base"], strict=True)]
+        n = [len(x) for x in blocks]
+        chunk = np.repeat(np.arange(len(blocks)), n)
+        key, every = np.concatenate(blocks), np.concatenate(lows)
+        order = np.lexsort((every, key))
+        key, every, chunk = key[order], every[order], chunk[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        keys, low, holder = key[first], every[first], chunk[first]
+        # the least document of each block outside the chunk that holds the least one
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+        second = np.full(len(keys), LAST)
+        away = chunk != holder[group]
+        np.minimum.at(second, group[away], every[away])
+        # likewise the largest chunk top among those whose runs meet a block, and the next from another chunk
+        least_possible = np.iinfo(np.int64).min
+        high, next_high, owner = np.full(len(keys), least_possible), np.full(len(keys), least_possible), np.full(len(keys), -1)
+        hits: list = [None] * len(blocks)
+        tops = asked["top"].tolist()
+        for c in np.argsort(tops, kind="stable").tolist():
+            runs = unpack_sorted(asked["runs"].iloc[c])
             if not len(keys):
-                hits.append(np.zeros(len(runs), bool))
+                hits[c] = np.zeros(len(runs), bool)
                 continue
             at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
             ok = keys[at] == runs
-            high[at[ok]] = np.maximum(high[at[ok]], top)  # the chunk's largest document may hold it: step 2 decides
-            hits.append(ok & (low[at] < top))
-        used = [high[np.searchsorted(keys, b)] > mine for b, mine in zip(blocks, lows, strict=True)]
+            hits[c] = ok & (np.where(holder[at] == c, second[at], low[at]) < tops[c])
+            at = at[ok]
+            next_high[at], high[at], owner[at] = high[at], tops[c], c
+        used = []
+        for c, (b, mine) in enumerate(zip(blocks, lows, strict=True)):
+            at = np.searchsorted(keys, b)
+            used.append(np.where(owner[at] == c, next_high[at], high[at]) > mine)
         keep = [bool(h.any() or u.any()) for h, u in zip(hits, used, strict=True)]
-        return pd.DataFrame({"chunk_id": group["chunk_id"], "bucket": group["bucket"], "hit": [pack_bits(x) for x in hits], "used": [pack_bits(x) for x in used]})[keep]
+        return pd.DataFrame({"chunk_id": asked["chunk_id"], "bucket": asked["bucket"], "hit": [pack_bits(x) for x in hits], "used": [pack_bits(x) for x in used]})[keep]
 
     asked = store.mapInArrow(ask, "bucket int, chunk_id long, base long, top long, runs binary, blocks binary, low binary")
     return asked.groupBy("bucket").applyInPandas(meet, "chunk_id long, bucket int, hit binary, used binary")
@@ -249,6 +277,8 @@ def window_answers(marked: DataFrame, buckets: int, bits: int) -> DataFrame:
         for batch in batches:
             for chunk, ids, n, blob, anchors in _columns(batch, ("chunk_id", "ids", "n", "lines", "anchors")):
                 w = Words(ids, unpack_lines(blob, n))
+                if not len(w.hash):
+                    continue
                 found = Windows(w, Anchors(w, bits).marked(w, anchors, buckets))
                 base = int(w.ids.min())
                 rows = [(b, chunk, base, pack_sorted(found.h[s]), squash(found.h2[s].tobytes()), planes(found.low[s] - base)) for b, s in dealt(found.h, buckets)]
@@ -284,16 +314,13 @@ def substring_dedup(docs: DataFrame, spans: bool = False) -> DataFrame:
     buckets = max(partitions_for(size, 16_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = travelling_bits(size)
     anchors = written(anchor_answers(store, buckets, bits), "anchors").groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "hit", "used")).alias("anchors"))
-    seen = window_answers(store.join(anchors, "chunk_id"), buckets, bits).groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "earlier")).alias("seen"))
+    seen = window_answers(store.join(anchors, "chunk_id", "left"), buckets, bits).groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "earlier")).alias("seen"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, n, blob, hits, found in _columns(batch, ("ids", "n", "lines", "anchors", "seen")):
                 w = Words(ids, unpack_lines(blob, n))
-                if hits:
-                    gone = Windows(w, Anchors(w, bits).marked(w, hits, buckets)).covered(w, found or [], buckets)
-                else:
-                    gone = np.zeros(len(w.hash), bool)
+                gone = Windows(w, Anchors(w, bits).marked(w, hits, buckets)).covered(w, found or [], buckets)
                 removed, digest, where, kept = [], [], [], []
                 for words, a, m in zip(w.lines, w.starts.tolist(), w.sizes.tolist(), strict=True):
                     mine = gone[a : a + m]
