@@ -1 +1,273 @@
-"""placeholder"""
+"""Scalars on text, JSON, geometry and settings; output documents; presets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions import color as C
+from tessera.functions import geometry as G
+from tessera.functions import text as T
+from tessera.operators import matching as M
+from tessera.plans import oracle as O
+from tessera.plans.colour_queries import PALETTE
+from tessera.plans.registry import query
+from tessera.sources.raster import pixels, sniff
+
+
+def table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------- numbers ----
+@query("f_mm_to_px", "SELECT p_partkey, round(p_size / 25.4 * 96, 6) AS px FROM part")
+def f_mm_to_px(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(T.mm_to_px(F.col("p_size")), 6).alias("px"))
+
+
+@query("prj_preview_scale", "SELECT o_orderkey, round(CASE WHEN n <= 1000000 THEN 1 ELSE sqrt(1000000.0 / n) END, 6) AS factor FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 40) AS BIGINT) + 1 AS n FROM orders)")
+def prj_preview_scale(spark, d):
+    n = F.floor(F.col("o_totalprice") * 40) + 1
+    return table(spark, d, "orders").select("o_orderkey", F.round(T.preview_scale(n), 6).alias("factor"))
+
+
+_FIELDS = [("minAreaPx2", 12.0), ("holeAreaPx2", 4.5), ("widthPx", 3.0), ("corner", 1.5)]
+
+
+@query("prj_scale_fields", "SELECT p_partkey, k AS field, round(CASE WHEN k LIKE '%Px2' THEN v * s * s WHEN k LIKE '%Px' THEN v * s ELSE v END, 6) AS value FROM (SELECT p_partkey, 1.0 / (1 + p_size) AS s FROM part), (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _FIELDS) + ") AS f(k, v)")
+def prj_scale_fields(spark, d):
+    """Areas scale with the square of the factor, lengths with the factor, all else not at all."""
+    profile = F.create_map([F.lit(x) for kv in _FIELDS for x in kv])
+    scaled = T.scale_fields(profile, F.lit(1.0) / (F.col("p_size") + 1))
+    return table(spark, d, "part").select("p_partkey", F.explode(scaled).alias("field", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("f_format_coordinate", "SELECT event_id, CASE WHEN t IN ('-0', '') THEN '0' ELSE t END AS text FROM (SELECT event_id, regexp_replace(regexp_replace(printf('%.3f', round(value - 50, 3)), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS t FROM events)")
+def f_format_coordinate(spark, d):
+    return table(spark, d, "events").select("event_id", T.coordinate(F.round(F.col("value") - 50, 3), 3).alias("text"))
+
+
+@query("f_escape_xml", "SELECT c_custkey, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS text FROM (SELECT c_custkey, c_name || ' <a & \"b\"> ''' || c_mktsegment AS t FROM customer)")
+def f_escape_xml(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.escape_xml(F.concat("c_name", F.lit(" <a & \"b\"> '"), "c_mktsegment")).alias("text"))
+
+
+@query("f_bg_rectangle", "SELECT p_partkey, 'M 0 0 L ' || p_size || ' 0 L ' || p_size || ' ' || (p_size + 7) || ' L 0 ' || (p_size + 7) || ' Z' AS path FROM part")
+def f_bg_rectangle(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.rectangle_path(F.col("p_size"), F.col("p_size") + 7).alias("path"))
+
+
+_PATH = "'<path d=\"' || 'M' || p_size || ',' || p_partkey || 'L' || p_size || ',0,3,4Z' || '\"/>'"
+
+
+def path_of(part):
+    return part.select("p_partkey", F.concat(F.lit('<path d="M'), F.col("p_size").cast("string"), F.lit(","), F.col("p_partkey").cast("string"), F.lit("L"), F.col("p_size").cast("string"), F.lit(',0,3,4Z"/>')).alias("t"))
+
+
+@query("f_normalize_path", f"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace({_PATH}, '^.*d=\"([^\"]*)\".*$', '\\1'), '([MLZ])', ' \\1 ', 'g'), '[, ]+', ' ', 'g')) AS path FROM part")
+def f_normalize_path(spark, d):
+    return path_of(table(spark, d, "part")).select("p_partkey", T.normalize_path(F.col("t")).alias("path"))
+
+
+@query("h_count_nodes", f"SELECT p_partkey, CAST(length(regexp_replace(t, '[^MLHVCSQTAZmlhvcsqtaz]', '', 'g')) AS BIGINT) AS nodes, CAST(length(regexp_replace(t, '[^Mm]', '', 'g')) AS BIGINT) AS subpaths FROM (SELECT p_partkey, regexp_replace({_PATH}, '^.*d=\"([^\"]*)\".*$', '\\1') AS t FROM part)")
+def h_count_nodes(spark, d):
+    clean = path_of(table(spark, d, "part")).select("p_partkey", T.normalize_path(F.col("t")).alias("t"))
+    return clean.select("p_partkey", F.regexp_count("t", F.lit("[MLHVCSQTAZmlhvcsqtaz]")).cast("long").alias("nodes"), F.regexp_count("t", F.lit("[Mm]")).cast("long").alias("subpaths"))
+
+
+@query("h_path_valid", "SELECT p_partkey, p_partkey % 3 <> 0 AS valid FROM part")
+def h_path_valid(spark, d):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("L 1 "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("M 1 "), F.col("p_size").cast("string"), F.lit(" Z")))
+    return table(spark, d, "part").select("p_partkey", T.path_valid(text, F.lit("evenodd")).alias("valid"))
+
+
+@query("f_display_name", "SELECT o_orderkey, left(regexp_replace(regexp_replace(t, '^.*[/\\\\]', ''), '[^A-Za-z0-9._ -]', '_', 'g'), 120) AS name FROM (SELECT o_orderkey, '/tmp/' || o_orderpriority || '\\x' || o_orderstatus || '*?.png' AS t FROM orders)")
+def f_display_name(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.display_name(F.concat(F.lit("/tmp/"), "o_orderpriority", F.lit("\\x"), "o_orderstatus", F.lit("*?.png"))).alias("name"))
+
+
+@query("f_css_parse", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '#' || printf('%02X%02X%02X', a, b, c) WHEN 1 THEN '#' || printf('%X%X%X%X%X%X', d, d, e, e, f, f) ELSE '#' || printf('%02X%02X%02X', a, b, c) END AS hex FROM (SELECT p_partkey, p_partkey % 256 AS a, (p_partkey * 7) % 256 AS b, (p_partkey * 13) % 256 AS c, p_partkey % 16 AS d, (p_partkey * 3) % 16 AS e, (p_partkey * 5) % 16 AS f FROM part)")
+def f_css_parse(spark, d):
+    k = F.col("p_partkey")
+    byte, half = [k % 256, k * 7 % 256, k * 13 % 256], [k % 16, k * 3 % 16, k * 5 % 16]
+    text = F.when(k % 3 == 0, F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(b)), 2, "0") for b in byte])).when(k % 3 == 1, F.concat(F.lit("#"), *[F.hex(h) for h in half])).otherwise(F.concat(F.lit("rgb("), F.concat_ws(", ", *[b.cast("string") for b in byte]), F.lit(")")))
+    return table(spark, d, "part").select("p_partkey", T.css_hex(text).alias("hex"))
+
+
+@query("f_css_format", f"WITH {O.PIXEL} SELECT pixel_id, 'rgb(' || r || ', ' || g || ', ' || b || ')' AS css FROM pixel")
+def f_css_format(spark, d):
+    return pixels(spark, d).select("pixel_id", F.format_string("rgb(%d, %d, %d)", "r", "g", "b").alias("css"))
+
+
+# ------------------------------------------------------- compositing ----
+@query("f_premul", f"WITH {O.PIXEL} SELECT pixel_id, round({O.linear('r / 255.0')} * a / 255.0, 6) AS red, round({O.linear('r / 255.0')} * a / 255.0 + 0.25 * (1 - a / 255.0), 6) AS over_grey FROM pixel")
+def f_premul(spark, d):
+    alpha = C.unit("a")
+    red = C.to_linear(C.unit("r")) * alpha
+    return pixels(spark, d).select("pixel_id", F.round(red, 6).alias("red"), F.round(red + (F.lit(1.0) - alpha) * 0.25, 6).alias("over_grey"))
+
+
+@query("f_cache_key", f"WITH {O.PIXEL} SELECT pixel_id, CAST(r * 16777216 + g * 65536 + b * 256 + a AS BIGINT) AS key FROM pixel")
+def f_cache_key(spark, d):
+    key = F.shiftleft(F.col("r"), 24).bitwiseOR(F.shiftleft(F.col("g"), 16)).bitwiseOR(F.shiftleft(F.col("b"), 8)).bitwiseOR(F.col("a"))
+    return pixels(spark, d).select("pixel_id", key.alias("key"))
+
+
+@query("f_two_color", f"WITH {O.PIXEL}, m AS (SELECT pixel_id, r / 255.0 AS x, g / 255.0 AS y, b / 255.0 AS z FROM pixel), t AS (SELECT *, least(1, greatest(0, ((x - 0.2) * 0.6 + (y - 0.3) * -0.1 + (z - 0.7) * -0.5) / 0.62)) AS cover FROM m) SELECT pixel_id, round(cover, 6) AS coverage, round(pow(x - 0.2 - cover * 0.6, 2) + pow(y - 0.3 + cover * 0.1, 2) + pow(z - 0.7 + cover * 0.5, 2), 6) AS residual FROM t")
+def f_two_color(spark, d):
+    """Each pixel as a mix of two colours: how much of the first, and what is left unexplained."""
+    cover, rest = G.two_colour(tuple(C.unit(c) for c in "rgb"), (0.8, 0.2, 0.2), (0.2, 0.3, 0.7))
+    return pixels(spark, d).select("pixel_id", F.round(cover, 6).alias("coverage"), F.round(rest, 6).alias("residual"))
+
+
+@query("f_robust", "SELECT event_id, round(value / 1.5 / (value / 1.5 + 0.25), 6) AS response FROM events")
+def f_robust(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(C.robust(F.col("value") / 1.5), 6).alias("response"))
+
+
+# ----------------------------------------------------------- geometry ----
+_CHAIN = "chain AS (SELECT user_id % 50 AS chain, event_id AS i, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events)"
+
+
+def chain(spark, d):
+    return table(spark, d, "events").select((F.col("user_id") % 50).alias("chain"), F.col("event_id").alias("i"), (F.col("event_id") % 97).cast("double").alias("x"), F.col("value").alias("y"))
+
+
+_ORDER = Window.partitionBy("chain").orderBy("i")
+
+
+@query("win_arclen", f"WITH {_CHAIN}, s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM chain WINDOW w AS (PARTITION BY chain ORDER BY i)) SELECT chain, i, round(sum(step) OVER (PARTITION BY chain ORDER BY i), 4) AS length FROM s")
+def win_arclen(spark, d):
+    step = F.coalesce(G.distance(F.col("x"), F.col("y"), F.lag("x").over(_ORDER), F.lag("y").over(_ORDER)), F.lit(0.0))
+    return chain(spark, d).withColumn("step", step).select("chain", "i", F.round(F.sum("step").over(_ORDER), 4).alias("length"))
+
+
+@query("win_chord_tangent", f"WITH {_CHAIN} SELECT chain, i, round(coalesce(lead(x, 2) OVER w, last_value(x) OVER z) - coalesce(lag(x, 2) OVER w, first_value(x) OVER z), 6) AS dx, round(coalesce(lead(y, 2) OVER w, last_value(y) OVER z) - coalesce(lag(y, 2) OVER w, first_value(y) OVER z), 6) AS dy FROM chain WINDOW w AS (PARTITION BY chain ORDER BY i), z AS (PARTITION BY chain ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def win_chord_tangent(spark, d):
+    whole = _ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chord = lambda c: F.coalesce(F.lead(c, 2).over(_ORDER), F.last(c).over(whole)) - F.coalesce(F.lag(c, 2).over(_ORDER), F.first(c).over(whole))
+    return chain(spark, d).select("chain", "i", F.round(chord("x"), 6).alias("dx"), F.round(chord("y"), 6).alias("dy"))
+
+
+@query("win_signed_area", f"WITH {_CHAIN}, s AS (SELECT chain, x * lead(y) OVER w - lead(x) OVER w * y AS c FROM chain WINDOW w AS (PARTITION BY chain ORDER BY i)) SELECT chain, round(sum(c) / 2, 2) AS area FROM s GROUP BY chain")
+def win_signed_area(spark, d):
+    cross = F.col("x") * F.lead("y").over(_ORDER) - F.lead("x").over(_ORDER) * F.col("y")
+    return chain(spark, d).select("chain", cross.alias("c")).groupBy("chain").agg(F.round(F.sum("c") / 2, 2).alias("area"))
+
+
+@query("agg_percentile95", f"WITH {_CHAIN}, r AS (SELECT chain, y, row_number() OVER (PARTITION BY chain ORDER BY y) AS k, count(*) OVER (PARTITION BY chain) AS n FROM chain) SELECT chain, y AS p95 FROM r WHERE k = CAST(ceil(0.95 * n) AS BIGINT)")
+def agg_percentile95(spark, d):
+    """Nearest rank, not interpolated."""
+    return chain(spark, d).groupBy("chain").agg(G.nearest_rank(F.sort_array(F.collect_list("y")), 0.95).alias("p95"))
+
+
+@query("g_circle", f"WITH {_CHAIN}, m AS (SELECT chain, avg(x) AS mx, avg(y) AS my FROM chain GROUP BY chain), c AS (SELECT chain, x - mx AS u, y - my AS v FROM chain JOIN m USING (chain)), s AS (SELECT chain, count(*) AS n, sum(u*u) AS uu, sum(u*v) AS uv, sum(v*v) AS vv, sum(u*u*u + u*v*v) AS ru, sum(v*v*v + v*u*u) AS rv FROM c GROUP BY chain), t AS (SELECT *, uu * vv - uv * uv AS det FROM s WHERE n >= 17) SELECT chain, round(mx + (ru * vv - rv * uv) / (2 * det), 4) AS cx, round(my + (rv * uu - ru * uv) / (2 * det), 4) AS cy, round(sqrt(pow((ru * vv - rv * uv) / (2 * det), 2) + pow((rv * uu - ru * uv) / (2 * det), 2) + (uu + vv) / n), 4) AS radius FROM t JOIN m USING (chain)")
+def g_circle(spark, d):
+    """Algebraic circle fit of each chain of at least 17 samples, from centred sums."""
+    return G.fit_circles(chain(spark, d), "chain").select("chain", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round("radius", 4).alias("radius"))
+
+
+@query("f_cubic", "SELECT event_id, round(pow(1 - t, 3) * 0 + 3 * pow(1 - t, 2) * t * 1 + 3 * (1 - t) * t * t * 4 + pow(t, 3) * 3, 6) AS x, round(3 * pow(1 - t, 2) * t * 2 + 3 * (1 - t) * t * t * -1 + pow(t, 3) * 5, 6) AS y, round(3 * pow(1 - t, 2) * 1 + 6 * (1 - t) * t * 3 + 3 * t * t * -1, 6) AS dx FROM (SELECT event_id, (event_id % 1000) / 1000.0 AS t FROM events)")
+def f_cubic(spark, d):
+    t = (F.col("event_id") % 1000) / 1000.0
+    return table(spark, d, "events").select("event_id", F.round(G.cubic((0, 1, 4, 3), t), 6).alias("x"), F.round(G.cubic((0, 2, -1, 5), t), 6).alias("y"), F.round(G.cubic_slope((0, 1, 4, 3), t), 6).alias("dx"))
+
+
+@query("f_point_segment", "SELECT event_id, round(sqrt(pow(x - (10 + t * 60), 2) + pow(y - (20 + t * 30), 2)), 6) AS distance FROM (SELECT event_id, x, y, least(1, greatest(0, ((x - 10) * 60 + (y - 20) * 30) / 4500)) AS t FROM (SELECT event_id, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events))")
+def f_point_segment(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(G.point_segment((F.col("event_id") % 97).cast("double"), F.col("value"), (10.0, 20.0), (70.0, 50.0)), 6).alias("distance"))
+
+
+@query("f_segments_intersect", "SELECT event_id, (o1 * o2 < 0 AND o3 * o4 < 0) AS crosses FROM (SELECT event_id, sign(60 * (y - 20) - 30 * (x - 10)) AS o1, sign(60 * (y + 5 - 20) - 30 * (x + 9 - 10)) AS o2, sign(9 * (20 - y) - 5 * (10 - x)) AS o3, sign(9 * (50 - y) - 5 * (70 - x)) AS o4 FROM (SELECT event_id, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events))")
+def f_segments_intersect(spark, d):
+    x, y = (F.col("event_id") % 97).cast("double"), F.col("value")
+    return table(spark, d, "events").select("event_id", G.crosses((F.lit(10.0), F.lit(20.0)), (F.lit(70.0), F.lit(50.0)), (x, y), (x + 9, y + 5)).alias("crosses"))
+
+
+# ---------------------------------------------------- documents, sinks ----
+_SCANS = [e.id for e in PALETTE]
+
+
+def layers_text(spark, d):
+    """One SVG path text for each palette entry: a unit square for every pixel it owns in the first rows."""
+    owned = M.ownership(pixels(spark, d), PALETTE).where("owner IS NOT NULL AND y < 4")
+    part = F.format_string("M %d %d h 1 v 1 h -1 Z", "x", "y")
+    return owned.groupBy("owner").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pixel_id", part.alias("p")))), lambda s: s["p"])).alias("path"))
+
+
+_CTE = f"WITH {O.PIXEL},\n{O.lab()},\n{O.owner_ctes(PALETTE)}"
+
+
+@query("snk_svg_app", f"{_CTE} SELECT owner, '<g id=\"scan-' || owner || '\"><path fill-rule=\"evenodd\" d=\"' || string_agg('M ' || x || ' ' || y || ' h 1 v 1 h -1 Z', ' ' ORDER BY pixel_id) || '\"/></g>' AS svg FROM owned WHERE owner IS NOT NULL AND y < 4 GROUP BY owner")
+def snk_svg_app(spark, d):
+    return layers_text(spark, d).select("owner", F.concat(F.lit('<g id="scan-'), "owner", F.lit('"><path fill-rule="evenodd" d="'), "path", F.lit('"/></g>')).alias("svg"))
+
+
+@query("snk_report", f"{_CTE} SELECT owner, '{{\"owner\":\"' || owner || '\",\"pixels\":' || count(*) || ',\"rows\":' || count(DISTINCT y) || '}}' AS report FROM owned WHERE owner IS NOT NULL GROUP BY owner")
+def snk_report(spark, d):
+    stats = M.ownership(pixels(spark, d), PALETTE).where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("pixels"), F.count_distinct("y").alias("rows"))
+    return stats.select("owner", F.to_json(F.struct("owner", "pixels", "rows")).alias("report"))
+
+
+@query("srt_layer_order", f"{_CTE}, n AS (SELECT owner, count(*) AS c FROM owned WHERE owner IS NOT NULL GROUP BY owner), o AS (SELECT * FROM (VALUES ('sand', 0), ('blue', 1), ('red', 2)) AS t(owner, pos)) SELECT owner, CAST(row_number() OVER (ORDER BY coalesce(pos, 99), owner) AS BIGINT) AS place FROM n LEFT JOIN o USING (owner)")
+def srt_layer_order(spark, d):
+    """Layers by the order asked for, unknown ones last; there are at most 64 rows to rank."""
+    order = spark.createDataFrame([("sand", 0), ("blue", 1), ("red", 2)], "owner string, pos int")
+    n = M.ownership(pixels(spark, d), PALETTE).where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("c")).join(F.broadcast(order), "owner", "left")
+    return n.select("owner", F.row_number().over(Window.orderBy(F.coalesce("pos", F.lit(99)), "owner")).cast("long").alias("place"))
+
+
+# ------------------------------------------------------- settings, JSON ----
+@query("src_settings", "SELECT event_id, coalesce(CASE WHEN json_valid(props) THEN CAST(json_extract_string(props, '$.schemaVersion') AS INTEGER) END, 1) AS version FROM events")
+def src_settings(spark, d):
+    """What isn't there or can't be read falls back to the default; nothing fails."""
+    read = F.from_json("props", "schemaVersion INT", {"mode": "PERMISSIVE"})
+    return table(spark, d, "events").select("event_id", F.coalesce(read["schemaVersion"], F.lit(1)).alias("version"))
+
+
+@query("d_merge_profiles", "SELECT p_partkey, k AS field, round(CASE WHEN k = 'b' AND p_size % 2 = 0 THEN p_size ELSE v END, 6) AS value FROM part, (VALUES ('a', 1.0), ('b', 2.0), ('c', 3.0)) AS t(k, v)")
+def d_merge_profiles(spark, d):
+    base = F.create_map([F.lit(x) for x in ("a", 1.0, "b", 2.0, "c", 3.0)])
+    over = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("b"), F.col("p_size").cast("double"))).otherwise(F.create_map().cast("map<string,double>"))
+    return table(spark, d, "part").select("p_partkey", F.explode(T.merge_maps(base, over)).alias("field", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("d_unsupported", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'corner,smoothing' ELSE 'smoothing' END AS missing FROM part")
+def d_unsupported(spark, d):
+    asked = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("smoothing"), F.lit("corner"), F.lit("turd"))).otherwise(F.array(F.lit("turd"), F.lit("smoothing")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_except(asked, F.array(F.lit("turd")))), ",").alias("missing"))
+
+
+@query("d_source_changed", "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR)) <> sha256(CAST(o_custkey - o_custkey % 2 AS VARCHAR)) AS changed FROM orders")
+def d_source_changed(spark, d):
+    mark = lambda c: F.sha2(c.cast("string"), 256)
+    return table(spark, d, "orders").select("o_orderkey", (mark(F.col("o_custkey")) != mark(F.col("o_custkey") - F.col("o_custkey") % 2)).alias("changed"))
+
+
+@query("src_presets", "SELECT o_orderkey AS preset, o_orderdate AS updated FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("srt_presets", "SELECT o_orderkey AS preset, o_orderdate AS updated FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def src_presets(spark, d):
+    """The fifty presets changed last, unreadable ones left out."""
+    return table(spark, d, "orders").where("o_orderkey % 7 <> 0").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select(F.col("o_orderkey").alias("preset"), F.col("o_orderdate").alias("updated"))
+
+
+@query("src_upload", "SELECT k, kind FROM (VALUES (1, 'image/png'), (2, 'image/jpeg'), (3, 'image/gif'), (4, 'image/webp'), (5, NULL)) AS t(k, kind)")
+def src_upload(spark, d):
+    heads = [(1, b"\x89PNG\r\n\x1a\n00"), (2, b"\xff\xd8\xff\xe000"), (3, b"GIF89a00"), (4, b"RIFF0000WEBP"), (5, b"hello")]
+    return spark.createDataFrame([(k, bytearray(h)) for k, h in heads], "k int, content binary").select("k", sniff(F.col("content")).alias("kind"))
+
+
+@query("h_canonical_pair", "SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem")
+def h_canonical_pair(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.least("l_partkey", "l_suppkey").alias("low"), F.greatest("l_partkey", "l_suppkey").alias("high"))
+
+
+@query("h_remap", f"WITH {O.PIXEL} SELECT pixel_id, CASE zone WHEN 0 THEN 7 WHEN 1 THEN 5 ELSE 0 END AS label FROM pixel")
+def h_remap(spark, d):
+    lookup = spark.createDataFrame([(0, 7), (1, 5)], "zone long, label int")
+    return pixels(spark, d).join(F.broadcast(lookup), "zone", "left").select("pixel_id", F.coalesce("label", F.lit(0)).alias("label"))
+
+
+@query("h_svg_shallow_check", "SELECT page_id, starts_with(html, '<svg') AND ends_with(html, '</svg>') AS ok FROM pages")
+def h_svg_shallow_check(spark, d):
+    return table(spark, d, "pages").select("page_id", T.svg_ok(F.col("html")).alias("ok"))
