@@ -152,12 +152,14 @@ def screen(snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
 
 
 def same_bytes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (sha, old_id, new_id, ...) whose two normalised texts are equal bytes."""
+    """Those pairs (sha, old_id, new_id, ...) whose two normalised texts are equal bytes.
+    A side without an id has no text to fetch; there the SHA-256 decides."""
+    nameless = pairs.where("old_id IS NULL OR new_id IS NULL")
     ids = pairs.select(F.explode(F.array("old_id", "new_id")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", normalised().alias("t")).join(ids, "doc_id")
     old, new = texts.select(F.col("doc_id").alias("old_id"), F.col("t").alias("t1")), texts.select(F.col("doc_id").alias("new_id"), F.col("t").alias("t2"))
-    return pairs.join(old, "old_id").join(new, "new_id").where(F.col("t1").cast("binary") == F.col("t2").cast("binary")).select(*pairs.columns).distinct()
+    return pairs.join(old, "old_id").join(new, "new_id").where(F.col("t1").cast("binary") == F.col("t2").cast("binary")).select(*pairs.columns).distinct().union(nameless)
 
 
 def exact_dedup(docs: DataFrame, split_at: int | None = None) -> DataFrame:

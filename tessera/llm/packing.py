@@ -158,7 +158,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int = CAPAC
     for place, source in enumerate(order[:TRIALS]):
         if spare <= 0:
             break
-        targets, changed = order[place + 1 : place + 1 + TRIALS], True
+        targets, changed = sorted(order[place + 1 : place + 1 + TRIALS], key=lambda k: (-fill[k], k)), True
         while changed and bins[source]:
             changed = False
             for target in targets:
