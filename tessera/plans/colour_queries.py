@@ -282,3 +282,46 @@ def f_hsv(spark, d):
 @query("f_cmyk", f"WITH {O.PIXEL}, m AS (SELECT *, greatest(r, g, b) / 255.0 AS t FROM pixel) SELECT pixel_id, round((t - r / 255.0) / t, 6) AS cyan, round((t - g / 255.0) / t, 6) AS magenta, round((t - b / 255.0) / t, 6) AS yellow, round(1 - t, 6) AS black FROM m")
 def f_cmyk(spark, d):
     return pixels(spark, d).select("pixel_id", *(r6(c, n) for c, n in zip(C.cmyk(*(C.unit(x) for x in "rgb")), ("cyan", "magenta", "yellow", "black"), strict=True)))
+
+
+# ------------------------------------------------- iterative: no SQL form ----
+@query("g_kmeans_app")
+def g_kmeans_app(spark, d):
+    from tessera.operators.palettes import kmeans
+
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(kmeans(pixels(spark, d).where("a > 12"), 6))], "centre int, l double, a double, b double, pixels long")
+
+
+@query("g_palette_engine")
+def g_palette_engine(spark, d):
+    from tessera.operators.palettes import engine_palette
+
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(engine_palette(pixels(spark, d).where("a > 0"), 6))], "centre int, l double, a double, b double, pixels long")
+
+
+@query("top_farthest")
+def top_farthest(spark, d):
+    from tessera.operators.palettes import bins, seeds
+
+    return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(seeds(*bins(pixels(spark, d)), 8, 0.02))], "place int, l double, a double, b double")
+
+
+@query("top_farthest_engine")
+def top_farthest_engine(spark, d):
+    from tessera.operators.palettes import bins, seeds
+
+    return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(seeds(*bins(pixels(spark, d), "engine"), 8))], "place int, l double, a double, b double")
+
+
+@query("agg_kmeans_update", f"{CTE}, near AS (SELECT *, {O.nearest(CENTRES)} AS centre FROM lab) SELECT CAST(centre AS BIGINT) AS centre, round(avg(l), 6) AS l, round(avg(ok_a), 6) AS ok_a, round(avg(ok_b), 6) AS ok_b, CAST(count(*) AS BIGINT) AS n FROM near GROUP BY centre")
+def agg_kmeans_update(spark, d):
+    """One round of means: each pixel to its nearest centre, then one aggregation."""
+    px = lch(spark, d).withColumn("centre", M.nearest((F.col("l"), F.col("ok_a"), F.col("ok_b")), CENTRES).cast("long"))
+    return px.groupBy("centre").agg(r6(F.avg("l"), "l"), r6(F.avg("ok_a"), "ok_a"), r6(F.avg("ok_b"), "ok_b"), F.count("*").alias("n"))
+
+
+@query("st_incremental_hist", f"WITH {O.PIXEL} SELECT ((r >> 2) << 12) + ((g >> 2) << 6) + (b >> 2) AS bin, CAST(count(*) AS BIGINT) AS weight FROM pixel GROUP BY 1")
+def st_incremental_hist(spark, d):
+    from tessera.streaming.histogram import binned
+
+    return binned(pixels(spark, d))
