@@ -133,25 +133,26 @@ def chain(spark, d):
     return table(spark, d, "events").select((F.col("user_id") % 50).alias("chain"), F.col("event_id").alias("i"), (F.col("event_id") % 97).cast("double").alias("x"), F.col("value").alias("y"))
 
 
-_ORDER = Window.partitionBy("chain").orderBy("i")
+def along():
+    return Window.partitionBy("chain").orderBy("i")
 
 
 @query("win_arclen", f"WITH {_CHAIN}, s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM chain WINDOW w AS (PARTITION BY chain ORDER BY i)) SELECT chain, i, round(sum(step) OVER (PARTITION BY chain ORDER BY i), 4) AS length FROM s")
 def win_arclen(spark, d):
-    step = F.coalesce(G.distance(F.col("x"), F.col("y"), F.lag("x").over(_ORDER), F.lag("y").over(_ORDER)), F.lit(0.0))
-    return chain(spark, d).withColumn("step", step).select("chain", "i", F.round(F.sum("step").over(_ORDER), 4).alias("length"))
+    step = F.coalesce(G.distance(F.col("x"), F.col("y"), F.lag("x").over(along()), F.lag("y").over(along())), F.lit(0.0))
+    return chain(spark, d).withColumn("step", step).select("chain", "i", F.round(F.sum("step").over(along()), 4).alias("length"))
 
 
 @query("win_chord_tangent", f"WITH {_CHAIN} SELECT chain, i, round(coalesce(lead(x, 2) OVER w, last_value(x) OVER z) - coalesce(lag(x, 2) OVER w, first_value(x) OVER z), 6) AS dx, round(coalesce(lead(y, 2) OVER w, last_value(y) OVER z) - coalesce(lag(y, 2) OVER w, first_value(y) OVER z), 6) AS dy FROM chain WINDOW w AS (PARTITION BY chain ORDER BY i), z AS (PARTITION BY chain ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def win_chord_tangent(spark, d):
-    whole = _ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    chord = lambda c: F.coalesce(F.lead(c, 2).over(_ORDER), F.last(c).over(whole)) - F.coalesce(F.lag(c, 2).over(_ORDER), F.first(c).over(whole))
+    whole = along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chord = lambda c: F.coalesce(F.lead(c, 2).over(along()), F.last(c).over(whole)) - F.coalesce(F.lag(c, 2).over(along()), F.first(c).over(whole))
     return chain(spark, d).select("chain", "i", F.round(chord("x"), 6).alias("dx"), F.round(chord("y"), 6).alias("dy"))
 
 
 @query("win_signed_area", f"WITH {_CHAIN}, s AS (SELECT chain, x * lead(y) OVER w - lead(x) OVER w * y AS c FROM chain WINDOW w AS (PARTITION BY chain ORDER BY i)) SELECT chain, round(sum(c) / 2, 2) AS area FROM s GROUP BY chain")
 def win_signed_area(spark, d):
-    cross = F.col("x") * F.lead("y").over(_ORDER) - F.lead("x").over(_ORDER) * F.col("y")
+    cross = F.col("x") * F.lead("y").over(along()) - F.lead("x").over(along()) * F.col("y")
     return chain(spark, d).select("chain", cross.alias("c")).groupBy("chain").agg(F.round(F.sum("c") / 2, 2).alias("area"))
 
 
