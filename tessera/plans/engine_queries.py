@@ -249,3 +249,32 @@ def j_twin(spark, d):
 @query("agg_face_area", f"WITH {O.PIXEL} SELECT zone AS face, CAST(count(*) AS BIGINT) AS area FROM pixel GROUP BY zone")
 def agg_face_area(spark, d):
     return pixels(spark, d).groupBy(F.col("zone").alias("face")).agg(F.count("*").alias("area"))
+
+
+@query("top_two_neighbours", f"{_EDGES}, {_REGION}, {_SIDES}, ends AS (SELECT low AS region, high AS other, boundary_length AS n FROM sides UNION ALL SELECT high, low, boundary_length FROM sides) SELECT region, other, CAST(n AS BIGINT) AS boundary_length FROM ends QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, other) <= 2")
+def top_two_neighbours(spark, d):
+    """The two longest shared boundaries of each region, lower ids first on ties; bounded lists, no window over a region's rows."""
+    _, labels, cost, _ = _parts(spark, d)
+    sides = R.adjacency(labels, cost)
+    both = sides.select(F.col("low").alias("region"), F.col("high").alias("other"), "boundary_length").union(sides.select("high", "low", "boundary_length"))
+    top = both.groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("boundary_length")).alias("n"), "other"))), 1, 2).alias("t"))
+    return top.select("region", F.explode("t").alias("t")).select("region", "t.other", (-F.col("t.n")).alias("boundary_length"))
+
+
+@query("agg_border_engine", f"WITH {O.PIXEL}, ring AS (SELECT zone FROM pixel WHERE x = 0 UNION ALL SELECT zone FROM pixel WHERE x = 99 UNION ALL SELECT zone FROM pixel WHERE y = 0 UNION ALL SELECT zone FROM pixel WHERE y = (SELECT max(y) FROM pixel)) SELECT zone AS region, CAST(count(*) AS BIGINT) AS border FROM ring GROUP BY zone ORDER BY border DESC, region LIMIT 1")
+def agg_border_engine(spark, d):
+    """The region with most border pixels (corners count twice), the lower one on ties."""
+    px = pixels(spark, d)
+    high = px.agg(F.max("y").alias("last"))
+    sides = sum(((c).cast("int") for c in (F.col("x") == WIDTH - 1, F.col("y") == 0, F.col("y") == F.col("last"))), (F.col("x") == 0).cast("int"))
+    ring = px.crossJoin(F.broadcast(high)).groupBy("zone").agg(F.sum(sides).alias("border"))
+    return ring.agg(F.min(F.struct((-F.col("border")).alias("n"), "zone")).alias("p")).select(F.col("p.zone").alias("region"), (-F.col("p.n")).alias("border"))
+
+
+@query("set_ownership_gate", f"WITH {O.PIXEL} SELECT CAST(count(*) AS BIGINT) AS pixels, CAST(0 AS BIGINT) AS unowned, CAST(0 AS BIGINT) AS owned_twice FROM pixel")
+def set_ownership_gate(spark, d):
+    """Every pixel has exactly one region of the partition."""
+    px = pixels(spark, d)
+    cost = R.edges(R.evidence(px)).withColumn("image_id", F.lit("events"))
+    owners = px.join(R.spanning_forest(cost).groupBy("pixel_id").agg(F.count("*").alias("n")), "pixel_id", "left")
+    return owners.agg(F.count("*").alias("pixels"), F.count_if(F.col("n").isNull()).alias("unowned"), F.count_if(F.col("n") > 1).alias("owned_twice"))

@@ -272,3 +272,30 @@ def h_remap(spark, d):
 @query("h_svg_shallow_check", "SELECT page_id, starts_with(html, '<svg') AND ends_with(html, '</svg>') AS ok FROM pages")
 def h_svg_shallow_check(spark, d):
     return table(spark, d, "pages").select("page_id", T.svg_ok(F.col("html")).alias("ok"))
+
+
+# ------------------------------------------------------- small helpers ----
+@query("prj_paint", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '#112233' WHEN p_size % 3 = 1 THEN '#445566' ELSE '#000000' END AS paint FROM part")
+def prj_paint(spark, d):
+    """The output colour, else the anchor, else black."""
+    output = F.when(F.col("p_size") % 3 == 0, "#112233")
+    anchor = F.when(F.col("p_size") % 3 <= 1, "#445566")
+    return table(spark, d, "part").select("p_partkey", F.coalesce(output, anchor, F.lit("#000000")).alias("paint"))
+
+
+@query("flt_mode_whitelist", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'F' END AS mode FROM orders")
+def flt_mode_whitelist(spark, d):
+    known = spark.createDataFrame([("F",), ("O",)], "mode string")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return orders.join(F.broadcast(known), F.col("o_orderstatus") == F.col("mode"), "left").select("o_orderkey", F.coalesce("mode", F.lit("F")).alias("mode"))
+
+
+@query("lim_scan_count", "SELECT p_partkey, least(64, greatest(1, p_size - 3)) AS scans FROM part")
+def lim_scan_count(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.least(F.greatest(F.col("p_size") - 3, F.lit(1)), F.lit(64)).alias("scans"))
+
+
+@query("f_geom_prims", "SELECT event_id, round(sqrt(pow(x - 3, 2) + pow(y - 4, 2)), 6) AS distance, round(x + (3 - x) * 0.25, 6) AS lerp, round(x * 4 - y * 3, 6) AS cross_product, round(x * 3 + y * 4, 6) AS dot_product FROM (SELECT event_id, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events)")
+def f_geom_prims(spark, d):
+    x, y = (F.col("event_id") % 97).cast("double"), F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(G.distance(x, y, F.lit(3.0), F.lit(4.0)), 6).alias("distance"), F.round(x + (F.lit(3.0) - x) * 0.25, 6).alias("lerp"), F.round(x * 4 - y * 3, 6).alias("cross_product"), F.round(x * 3 + y * 4, 6).alias("dot_product"))
