@@ -291,6 +291,25 @@ def test_lm_learns(spark):
     assert got[~got.held_out].score.sum() > got[~got.held_out].base_score.sum()
 
 
+def test_lm_tables_grow_with_the_training_text(spark, monkeypatch):
+    """Larger tables keep contexts apart, and asking by slice gives the scores of whole tables."""
+    df = spark.read.parquet(DOCS)
+    assert [mixing.doublings(n) for n in (0, 100_000_000, 100_000_001, 24_000_000_000)] == [0, 0, 1, 8]
+    scores = lambda: {r.doc_id: r.score for r in lm.score(df).collect()}
+    base = scores()
+    monkeypatch.setattr(mixing, "BASE_BYTES", 100_000)
+    grown = scores()
+    monkeypatch.setattr(lm, "BROADCAST_SLOTS", 0)
+    asked = scores()
+    assert grown == pytest.approx(asked) and grown != base
+    for grow in (0, 3, 7, 9):  # with hashes of 32 and of 64 bits
+        lines = [b"some text some more", b"", b"text"]
+        single = mixing.pairs(lines)
+        top = mixing.common_pairs(single)
+        slots = mixing.decisions(lines, mixing.Code(single, top, mixing.triples(lines, top)), grow=grow)[3]
+        assert all(int(s.max()) < 1 << log2 + grow for s, (_, log2) in zip(slots, mixing.CONTEXTS, strict=True))
+
+
 # ------------------------------------------------------------ decontamination ----
 def test_decontamination(spark):
     rng = random.Random(2)
