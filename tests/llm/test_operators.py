@@ -344,6 +344,15 @@ def test_candidate_recall_against_brute_force(spark):
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
 
+def test_space_is_fitted_on_all_blocks_of_the_benchmark(spark, monkeypatch):
+    """What is found does not depend on how the benchmark is cut into blocks."""
+    docs, bench = spark.read.parquet(DOCS), spark.read.parquet(DOCS.replace("documents", "benchmark"))
+    found = lambda: sorted((str(r.doc_id), str(r.item_id), round(r.cosine, 3)) for r in decontamination.decontaminate(docs, bench).collect())
+    whole = found()
+    monkeypatch.setattr(decontamination, "ITEMS", 20)
+    assert found() == whole
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
