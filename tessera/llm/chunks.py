@@ -22,8 +22,6 @@ from tessera.llm.common import tune, written
 
 #: Bytes of lines in one chunk (a longer document is a chunk by itself).
 CHUNK_BYTES = 3_000_000
-#: Rows of an Arrow batch where rows are chunks.
-CHUNK_BATCH = 4
 
 
 def squash(raw: bytes) -> bytes:
@@ -51,16 +49,19 @@ def words_of(text: str | None, lower: bool) -> list[bytes]:
 def chunk_store(docs: DataFrame, lower: bool, flag=None, size: int = CHUNK_BYTES) -> DataFrame:
     """chunk_id, ids, flags, n, n_bytes, lines (packed) of all rows; flag: a boolean column."""
     tune(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, flags, lines, held = TaskContext.get().partitionId() << 32, [], [], [], 0
+        id_type = pa.int64()
 
         def row() -> pa.RecordBatch:
             values = [[number], [ids], [bytes(flags)], [len(ids)], [held], [pack_lines(lines)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.list_(id_type), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["chunk_id", "ids", "flags", "n", "n_bytes", "lines"])
 
         for batch in batches:
+            id_type = batch.column("doc_id").type
             for doc_id, f, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "f", "text")), strict=True):
                 line = b" ".join(words_of(text, lower))
                 if lines and held + len(line) > size:
@@ -73,7 +74,5 @@ def chunk_store(docs: DataFrame, lower: bool, flag=None, size: int = CHUNK_BYTES
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if flag is None else flag).alias("f"), "text")
-    store = written(rows.mapInArrow(gather, "chunk_id long, ids array<long>, flags binary, n int, n_bytes long, lines binary"), "chunks")
-    tune(docs.sparkSession, CHUNK_BATCH)
-    return store
+    rows = docs.select("doc_id", (F.lit(False) if flag is None else flag).alias("f"), "text")
+    return written(rows.mapInArrow(gather, f"chunk_id long, ids array<{kind}>, flags binary, n int, n_bytes long, lines binary"), "chunks")

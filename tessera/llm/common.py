@@ -12,35 +12,51 @@ Conventions every operator here follows:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graphs import connected_components
+from tessera.operators.lineage import checkpoint_dir, written
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Recent", "checkpoint_dir", "connected_components", "documents", "fold", "held_out", "partitions_for", "tune", "without", "written"]
+
+
+#: Rows and bytes of an Arrow batch, whichever is reached first: the same for all operators.
+BATCH_ROWS, BATCH_BYTES = 1024, "8m"
 
-def tune(spark: SparkSession, batch: int = 1024) -> None:
-    """Arrow batches small enough that two workers of long texts fit an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+
+def tune(spark: SparkSession) -> None:
+    """Arrow batches small enough that two workers of long texts or of chunks fit an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder; a private one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+class Recent:
+    """A worker's cache, bounded by bytes: entries of the last two generations. What missing()
+    leaves in `now` stays there until it is called again."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held = limit, 0
+        self.now: dict = {}
+        self.old: dict = {}
 
+    def missing(self, keys: set) -> list[str]:
+        """Those keys that are in neither generation; the others are in `now` afterwards."""
+        if self.held > self.limit:
+            self.old, self.now, self.held = self.now, {}, 0
+        fresh = keys.difference(self.now)
+        if self.old:
+            known = [k for k in fresh if k in self.old]
+            self.learn(known, [self.old[k] for k in known])
+            fresh.difference_update(known)
+        return list(fresh)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def learn(self, keys: list[str], values: list) -> None:
+        """Entries; values that are bytes count by their length."""
+        self.now.update(zip(keys, values, strict=True))
+        self.held += 160 * len(keys) + sum(map(len, keys)) + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,41 +86,3 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def partitions_for(rows: int, each: int) -> int:
     """As many partitions as keep about `each` rows in one, with no upper limit."""
     return max(1, -(-rows // each))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges (a, b): component is the least node reachable.
-
-    Rounds of hooking each node to its least neighbour, halving paths by
-    pointer jumping, then contracting. Each round at least halves the nodes that
-    still have edges, so there are logarithmically many. Minima are aggregated
-    map-side, which takes the heat out of hubs; the joins can be split by AQE.
-    Only one count a round reaches the driver.
-    """
-    schema = "a {0}, b {0}".format(dict(edges.dtypes)["a"])
-    spark = edges.sparkSession
-    live = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    whole = None
-    while not live.isEmpty():
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        hook = written(near.select("node", F.least("node", "m").alias("root")), "cc-hook")
-        while True:  # root pointers strictly fall, so this ends after log2(chain) steps
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            hook = written(hook.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "cc-jump")
-            if hook.where("moved").isEmpty():
-                break
-            hook = hook.select("node", "root")
-        hook = hook.select("node", "root")
-        if whole is None:
-            whole = hook.withColumnRenamed("root", "component")
-        else:  # nodes of earlier rounds follow their representative
-            lift = hook.select(F.col("node").alias("component"), F.col("root").alias("next"))
-            whole = written(whole.join(lift, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "cc-whole")
-        left = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = live.join(left, "a").join(right, "b").where("ra <> rb")
-        live = written(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
-    if whole is None:
-        return spark.createDataFrame([], schema.replace("a ", "node ", 1).replace("b ", "component ", 1))
-    return whole

@@ -5,12 +5,14 @@ ones than CAPACITY are cut, into pieces of CAPACITY. Ids of a pre-token are
 looked up in a worker's cache; a text outside the plain repertoire goes through
 the library as a whole, so ids always equal the library's.
 
-Packing: pieces are dealt evenly into shards of about SHARD pieces. In a shard
-the pieces are packed best-fit, longest first; then underfull bins are
-improved by exchanging one piece for one, two for one, or by moving one, always
-so that the sum of squared fills grows, which drains bins until they are empty.
-What is still underfull after a shard's search meets the leftovers of the other
-shards in rounds of wider shards, until one round holds all of it.
+Packing: pieces are dealt evenly into shards of about SHARD pieces, by their place
+and not by their content. In a shard the pieces are packed best-fit, longest first;
+then every underfull bin, the emptiest first, hands pieces on: it moves one, or
+exchanges one or two for one, always into a bin that is fuller, so that the sum of
+squared fills grows, until bins are empty. Partners are found in an index of all underfull
+bins; passes go on while they empty bins. Bins that stay underfull meet those of other
+shards in further rounds; a shard passes on its emptiest bins, with at most half of its
+pieces, so rounds shrink and no shard ever grows.
 
 Defined cases: null or empty text is one piece of length 1 (the end id);
 repeated rows are packed each; an empty table gives an empty result.
@@ -21,6 +23,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, partitions_for, tune, written
+from tessera.llm.common import Recent, documents, partitions_for, tune, written
 
 CAPACITY = 2048
 END = 0
 #: Pieces of one shard: the memory and the time of one packing task.
 SHARD = 40_000
-#: Entries of each of a worker's caches, of words and of pre-tokens, which are emptied when full.
-CACHE = 350_000
-#: How many of the emptiest bins the search tries to drain, each into as many others.
-TRIALS = 64
+#: Bytes of each generation of a worker's caches, of words and of pre-tokens.
+WORD_BYTES, PRE_BYTES = 80_000_000, 40_000_000
+#: The search ends after so many exchanges for each piece of a shard, or when a pass empties no bin.
+EXCHANGES = 5
 
 # ------------------------------------------------------------ tokenising ----
 #: Characters whose lower case, normal form and class need no library: ASCII without
@@ -46,63 +50,56 @@ _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa1\xab\xbb\xbf-ſ]*\Z")
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes outside the printable ones in a byte-level vocabulary."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+
 class Ids:
-    """Packed little-endian ids of texts, with a cache of pre-tokens."""
+    """Packed little-endian ids of texts, with caches of words and pre-tokens."""
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        vocab = self.library.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}  # by pre-token
-        self.words: dict[str, bytes] = {}  # by word
+        self.model = self.library.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        self.letters = byte_letters()
+        self.cache, self.words = Recent(PRE_BYTES), Recent(WORD_BYTES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Ids of pre-tokens: encoded in one line, cut where a word closes."""
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part):
-                raw, last = ids.tobytes(), 0
-                for w, e in zip(part, (ends * 4).tolist(), strict=True):
-                    self.cache[w] = raw[last:e]
-                    last = e
-            else:  # a word with an inner close: one by one
-                for w in part:
-                    self.cache[w] = self.whole(w)
+        """Ids of pre-tokens, straight from the vocabulary's model: they need no normalising and no cutting."""
+        split, letters, raw = self.model.tokenize, self.letters, self.raw
+        self.cache.learn(words, [b"".join([raw[t.id] for t in split(w if w.isascii() else "".join([letters[b] for b in w.encode()]))]) for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Words between white space first, as no pre-token reaches across it."""
         words = [t.lower().split() if _PLAIN.match(t) and "<|" not in t else None for t in texts]
-        known = [w for w in words if w is not None]
-        new = [w for w in set().union(*known) if w not in self.words]
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = list(set().union(*known))
-        parts = [_PRE.findall(w) for w in new]
-        lacking = [p for p in set().union(*parts) if p not in self.cache]
-        if len(self.cache) + len(lacking) > CACHE:
-            self.cache.clear()
-            lacking = list(set().union(*parts))
-        self.learn(lacking)
-        get = self.cache.__getitem__
-        self.words.update((w, b"".join(map(get, p))) for w, p in zip(new, parts, strict=True))
-        get = self.words.__getitem__
+        new = self.words.missing(set().union(*[w for w in words if w is not None]))
+        parts = [[w] if w.isalpha() else _PRE.findall(w) for w in new]
+        self.learn(self.cache.missing(set().union(*parts)))
+        get = self.cache.now.__getitem__
+        self.words.learn(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts])
+        get = self.words.now.__getitem__
         return [b"".join(map(get, w)) if w is not None else self.whole(t) for w, t in zip(words, texts, strict=True)]
 
 
+@cache
+def ids_of(name: str) -> Ids:
+    """One for each vocabulary and worker process, which outlives a task."""
+    return Ids(name)
+
+
 def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row of docs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(name)
+        ids = ids_of(name)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             texts = batch.column("text").to_pylist()
@@ -146,56 +143,92 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+class Partners:
+    """Where pieces could go: for every underfull bin and every size t of its pieces (or 0, no
+    piece), the bin could take up to reach = t + what is free in it, if t came back."""
+
+    def __init__(self, capacity: int) -> None:
+        self.held: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]  # by reach: heaps of (t, bin, version)
+        self.least = np.full(capacity + 1, capacity + 1, np.int64)  # the least t of each reach
+        self.version: dict[int, int] = {}
+
+    def put(self, k: int, sizes: set[int], free: int) -> None:
+        self.drop(k)
+        if free > 0:
+            for t in (0, *sizes):
+                heappush(self.held[t + free], (t, k, self.version[k]))
+                self.least[t + free] = min(self.least[t + free], t)
+
+    def drop(self, k: int) -> None:
+        self.version[k] = self.version.get(k, 0) + 1
+
+    def top(self, reach: int) -> tuple[int, int] | None:
+        """(t, bin) of the least t, entries that no longer hold thrown away."""
+        held = self.held[reach]
+        while held and self.version[held[0][1]] != held[0][2]:
+            heappop(held)
+        self.least[reach] = held[0][0] if held else len(self.least)
+        return (held[0][0], held[0][1]) if held else None
+
+    def best(self, amount: int) -> tuple[int, int, int] | None:
+        """(reach, t, bin) of the least reach that takes amount for a smaller t: it fills a bin the most."""
+        while True:
+            at = np.flatnonzero(self.least[amount:] < amount)
+            if not len(at):
+                return None
+            reach = amount + int(at[0])
+            found = self.top(reach)
+            if found is not None and found[0] < amount:
+                return reach, *found
+
+
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Drain the emptiest bins into fuller underfull ones while squared fill grows.
 
-    Ends when no exchange helps or when no packing could have fewer bins.
+    Ends when a pass over all underfull bins empties none, or when no packing could have fewer.
     """
     size = sizes.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     spare = len(bins) - -(-sum(size) // capacity)  # bins above the least possible
-    order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))
-    for place, source in enumerate(order[:TRIALS]):
-        if spare <= 0:
-            break
-        targets, changed = sorted(order[place + 1 : place + 1 + TRIALS], key=lambda k: (-fill[k], k)), True
-        while changed and bins[source]:
-            changed = False
-            for target in targets:
-                free = capacity - fill[target]
-                if free <= 0 or not bins[source] or fill[target] < fill[source]:
-                    continue
-                out, back = [max((i for i in bins[source] if size[i] <= free), key=lambda i: (size[i], -i), default=-1)], []
-                if out[0] < 0:
-                    swap = _exchange(bins[source], bins[target], size, free)
-                    if swap is None:
-                        continue
-                    out, back = swap
-                for i in out:
-                    bins[source].remove(i)
-                for i in back:
-                    bins[target].remove(i)
-                bins[target] += out
-                bins[source] += back
-                gain = sum(size[i] for i in out) - sum(size[i] for i in back)
+    left, emptied = EXCHANGES * len(size), True
+    while spare > 0 and emptied and left > 0:
+        emptied = False
+        order = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
+        partners = Partners(capacity)
+        for k in order:
+            partners.put(k, {size[i] for i in bins[k]}, capacity - fill[k])
+        for source in order:
+            partners.drop(source)  # and it does not come back: all later sources are fuller
+            while bins[source] and left > 0 and (found := _exchange(bins[source], size, partners)) is not None:
+                target, out, t = found
+                back = [next(j for j in bins[target] if size[j] == t)] if t else []
+                bins[source] = [i for i in bins[source] if i not in out] + back
+                bins[target] = [i for i in bins[target] if i not in back] + out
+                gain = sum(size[i] for i in out) - t
                 fill[source] -= gain
                 fill[target] += gain
-                changed = True
-        spare -= not bins[source]
+                partners.put(target, {size[i] for i in bins[target]}, capacity - fill[target])
+                left -= 1
+            if not bins[source]:
+                spare, emptied = spare - 1, True
+            if spare <= 0 or left <= 0:
+                break
     return [b for b in bins if b]
 
 
-def _exchange(source: list[int], target: list[int], size: list[int], free: int) -> tuple[list[int], list[int]] | None:
-    """The exchange of one or two pieces for one that fills the target most; squared fill grows
-    since the target is the fuller bin and what it gains is above zero."""
-    best, found = 0, None
-    back = sorted({size[j]: j for j in target}.items())
-    one = [(size[i], [i]) for i in source]
-    two = [(size[i] + size[j], [i, j]) for a, i in enumerate(source[:32]) for j in source[a + 1 : 32]]
-    for s, out in one + two:
-        for t, j in back:
-            if best < s - t <= free:
-                best, found = s - t, (out, [j])
+def _exchange(source: list[int], size: list[int], partners: Partners) -> tuple[int, list[int], int] | None:
+    """(target, pieces that leave, size of the piece that comes back or 0): the move or exchange of one or two
+    pieces that leaves the least free in its target; of equal ones, what moves most."""
+    of: dict[int, list[int]] = {}
+    for i in source:
+        of.setdefault(size[i], []).append(i)
+    kinds = sorted(of)
+    one = [(s, [of[s][0]]) for s in kinds]
+    two = [(s + t, [of[s][0], of[t][-1]]) for k, s in enumerate(kinds) for t in kinds[k:] if s != t or len(of[s]) > 1]
+    best, found = (len(partners.least), 0), None
+    for amount, out in one + two:
+        if amount < len(partners.least) and (hit := partners.best(amount)) is not None and (hit[0] - amount, hit[1] - amount) < best:
+            best, found = (hit[0] - amount, hit[1] - amount), (hit[2], out, hit[1])
     return found
 
 
@@ -204,17 +237,20 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def _solver(columns: list[str], capacity: int, level: int, last: bool):
-    """Packs one shard; bins that stay underfull wait for other shards unless this round is the last."""
+    """Packs one shard. Unless this round is the last, its emptiest underfull bins wait for other shards, with at most
+    half of its pieces, so the pieces that wait at least halve in every round."""
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(columns, kind="stable").reset_index(drop=True)
         size = part["length"].to_numpy()
         seq, off = np.full(len(part), -1, np.int64), np.full(len(part), -1, np.int64)
-        number = (level << 52) + (int(part["_shard"].iloc[0]) << 20)
-        for b in pack(size, capacity):
-            if last or int(size[b].sum()) >= capacity - 8:
-                seq[b], off[b] = number, np.cumsum(size[b]) - size[b]
-                number += 1
+        number, waiting = (level << 52) + (int(part["_shard"].iloc[0]) << 20), 0
+        for b in sorted(pack(size, capacity), key=lambda b: int(size[b].sum())):
+            if not last and int(size[b].sum()) < capacity - 8 and 2 * (waiting + len(b)) <= len(part):
+                waiting += len(b)
+                continue
+            seq[b], off[b] = number, np.cumsum(size[b]) - size[b]
+            number += 1
         return part.assign(sequence_id=seq, offset=off)[[*columns, "sequence_id", "offset"]]
 
     return solve
@@ -227,21 +263,17 @@ def packed(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Da
     done: DataFrame | None = None
     left, level = table, 0
     while True:
-        total = left.count()
-        shards = partitions_for(total, shard)
+        shards = partitions_for(left.count(), shard)
         last = shards == 1
-        dealt = left.withColumn("_shard", F.pmod(F.xxhash64(*columns), F.lit(shards)).cast("int"))
-
+        # by a row's place in its written table, so rows that are equal are dealt apart
+        dealt = left.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
         solve = _solver(columns, capacity, level, last)
         result = written(dealt.groupBy("_shard").applyInPandas(solve, f"{kind}, sequence_id long, offset long"), "packed")
         full = result if last else result.where("sequence_id >= 0")
         done = full if done is None else done.union(full)
         if last:
             return done
-        rest = result.where("sequence_id < 0").select(*columns)
-        # a round that leaves most of its rows would not get further by another deal
-        shard = shard * 4 if rest.count() > total // 2 else shard
-        left, level = rest, level + 1
+        left, level = result.where("sequence_id < 0").select(*columns), level + 1
 
 
 def best_fit_packing(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
