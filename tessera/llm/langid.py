@@ -7,10 +7,11 @@ at the character that broke it. A pointer into N characters costs log2(N) bits,
 language's normalised phrase count is phrases * log2(N) for each character. The
 language that needs fewest wins (ties: the first by name).
 
-Automata are dense tables over a small alphabet: letters seen in training, one
-class for every run of other characters, one for letters never seen. All texts
-of a batch are cut into segments of SEGMENT characters (a phrase also ends
-there, for every language alike) and parsed in lockstep by numpy.
+A language's alphabet is all letters of its training text, however many, with one class for
+every run of other characters and one for letters it has never seen, which no phrase crosses. Its
+automaton is a dense table of states by letters while that takes up to DENSE_BYTES, else a sorted list
+of transitions; both parse alike. All texts of a batch are cut into segments of SEGMENT
+characters (a phrase also ends there, for every language alike) and parsed in lockstep by numpy.
 
 Defined cases: null text, empty text and text without letters are `und` with
 score 0; so is everything if there is nothing to learn from. Repeated rows get
@@ -19,8 +20,8 @@ the same answer. Rows without lang are predicted, never learned from.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,11 @@ SAMPLE_ROWS = 120
 #: ... and at most this many characters of each language go into its automaton.
 SAMPLE_CHARS = 30_000
 SEGMENT = 512
-WIDTH = 64  # size of the alphabet, a power of two
-PAD, OTHER, GAP = WIDTH - 1, WIDTH - 2, 0
+#: Size of a dense table at most.
+DENSE_BYTES = 32_000_000
+#: Classes of every alphabet; letters come after them.
+GAP, PAD, UNSEEN = 0, 1, 2
+BROKEN = np.int64(1 << 40)
 UND = "und"
 
 _letters: list[np.ndarray] = []
@@ -54,55 +58,89 @@ def points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def automaton(codes: np.ndarray) -> np.ndarray:
-    """Suffix automaton as a flat table: entry [state * WIDTH + code] is the next state
-    times WIDTH; where a match breaks, it is the state after a fresh start, plus 1 << 31."""
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in codes.tolist():
-        new = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                twin = len(nxt)
-                nxt.append(dict(nxt[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = twin
-                    p = link[p]
-                link[q] = link[new] = twin
-        last = new
-    fresh = np.zeros(WIDTH, np.uint32)
-    for c, s in nxt[0].items():
-        fresh[c] = s * WIDTH
-    table = np.tile(fresh | np.uint32(1 << 31), (len(nxt), 1))
-    for s, to in enumerate(nxt):
-        for c, t in to.items():
-            table[s, c] = t * WIDTH
-    table[:, PAD] = 0
-    return table.ravel()
-
-
-def build(model: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[str], list[np.ndarray], np.ndarray]:
-    """(class of each code point, languages, automata, bits of a pointer); kept in the worker process."""
+class Automaton:
+    """A suffix automaton over codes below width. step() follows one code from each state and adds
+    BROKEN where a match breaks, to the state after a fresh start."""
+
+    def __init__(self, codes: np.ndarray, width: int) -> None:
+        nxt: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in codes.tolist():
+            new = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                if length[q] == length[p] + 1:
+                    link[new] = q
+                else:
+                    twin = len(nxt)
+                    nxt.append(dict(nxt[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = twin
+                        p = link[p]
+                    link[q] = link[new] = twin
+            last = new
+        self.bits = max(2, (width - 1).bit_length())  # a state is kept shifted by these
+        self.fresh = np.full(1 << self.bits, BROKEN, np.int64)
+        for c, s in nxt[0].items():
+            self.fresh[c] += s << self.bits
+        self.fresh[PAD] = 0
+        self.table = self.keys = None
+        if len(nxt) << self.bits + 3 <= DENSE_BYTES:
+            self.table = np.tile(self.fresh, (len(nxt), 1))
+            for s, to in enumerate(nxt):
+                for c, t in to.items():
+                    self.table[s, c] = t << self.bits
+            self.table = self.table.ravel()
+        else:
+            pairs = sorted(((s << self.bits) | c, t << self.bits) for s, to in enumerate(nxt) for c, t in to.items())
+            self.keys, self.to = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state | codes]
+        key = state | codes
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], self.fresh[codes])
+
+
+@dataclass
+class Parser:
+    """Class of each code point, and for each language its name, its code of each class, its automaton, the bits of a pointer."""
+
+    classes: np.ndarray
+    names: list[str]
+    own: list[np.ndarray]
+    automata: list[Automaton]
+    bits: np.ndarray
+
+
+def build(model: tuple[tuple[str, str], ...]) -> Parser:
+    """The parser of a model; kept in the worker process."""
     if model not in _built:
         _built.clear()
-        seen = Counter(x for _, text in model for x in points(text).tolist())
-        common = [x for x, _ in seen.most_common() if letters()[x]][: OTHER - 1]
-        classes = np.where(letters(), OTHER, GAP).astype(np.uint8)
-        classes[np.array(common, np.int64)] = np.arange(1, len(common) + 1)
-        codes = [squeeze(classes[points(text)]) for _, text in model]
-        _built[model] = classes, [lang for lang, _ in model], [automaton(c) for c in codes], np.log2(np.maximum([len(c) for c in codes], 2))
+        seen = np.unique(np.concatenate([points(text) for _, text in model]))
+        known = seen[letters()[seen]]
+        classes = np.where(letters(), UNSEEN, GAP).astype(np.int32)
+        classes[known] = np.arange(UNSEEN + 1, UNSEEN + 1 + len(known))
+        own, automata, sizes = [], [], []
+        for _, text in model:
+            codes = squeeze(classes[points(text)])
+            mine = np.unique(codes[codes > UNSEEN])
+            to = np.full(UNSEEN + 1 + len(known), UNSEEN, np.int64)
+            to[[GAP, PAD]], to[mine] = (GAP, PAD), np.arange(UNSEEN + 1, UNSEEN + 1 + len(mine))
+            own.append(to)
+            automata.append(Automaton(to[codes], UNSEEN + 1 + len(mine)))
+            sizes.append(max(len(codes), 2))
+        _built[model] = Parser(classes, [lang for lang, _ in model], own, automata, np.log2(sizes))
     return _built[model]
 
 
@@ -115,25 +153,25 @@ def squeeze(codes: np.ndarray) -> np.ndarray:
 
 def phrases(texts: list[str | None], model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(phrases by text and language, codes of each text, whether it has a letter)."""
-    classes, names, tables, _ = build(model)
-    parsed = [squeeze(classes[points(t)]) for t in texts]
+    parser = build(model)
+    parsed = [squeeze(parser.classes[points(t)]) for t in texts]
     sizes = np.array([len(p) for p in parsed], np.int64)
     lettered = np.array([bool((p != GAP).any()) for p in parsed])
     pieces = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), pieces)
-    lanes = np.full((len(owner), SEGMENT), PAD, np.uint8)
+    lanes = np.full((len(owner), SEGMENT), PAD, np.int32)
     flat, row = lanes.ravel(), 0
     for p in parsed:
         flat[row * SEGMENT : row * SEGMENT + len(p)] = p
         row += -(-len(p) // SEGMENT)
-    steps = np.ascontiguousarray(lanes.T).astype(np.uint32)
-    out = np.zeros((len(texts), len(names)))
-    for k, table in enumerate(tables):
-        state, broken = np.zeros(len(owner), np.uint32), np.zeros(len(owner), np.uint32)
+    steps = np.ascontiguousarray(lanes.T)
+    out = np.zeros((len(texts), len(parser.names)))
+    for k, (own, one) in enumerate(zip(parser.own, parser.automata, strict=True)):
+        state, broken = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
         for codes in steps:
-            state = table[state | codes]
-            broken += state >> np.uint32(31)
-            state &= np.uint32((1 << 31) - 1)
+            state = one.step(state, own[codes])
+            broken += state >> 40
+            state &= BROKEN - 1
         out[:, k] = np.bincount(owner, broken + 1.0, len(texts))
     return out, sizes, lettered
 
@@ -142,11 +180,11 @@ def predict(texts: list[str | None], model: tuple) -> tuple[list[str], list[floa
     if not model:
         return [UND] * len(texts), [0.0] * len(texts)
     count, sizes, lettered = phrases(texts, model)
-    bits = count * build(model)[3]
+    bits = count * build(model).bits
     best = bits.argmin(axis=1)
     odds = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
     score = 1 / odds.sum(axis=1)
-    names = build(model)[1]
+    names = build(model).names
     return [names[b] if ok else UND for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, score, 0.0).tolist()
 
 
@@ -158,7 +196,7 @@ def train(rows: DataFrame, rows_each: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
         return ()
     wanted = F.create_map([F.lit(x) for lang, n in counts.items() for x in (lang, rows_each / n)])
     chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    drawn = rows.where(chance < wanted[F.col("lang")]).select("lang", chance.alias("at"), "text")
+    drawn = rows.where(chance < wanted[F.col("lang")]).select("lang", chance.alias("at"), F.substring("text", 1, chars).alias("text"))
     text: dict[str, str] = {}
     for lang, _, t in sorted(drawn.toLocalIterator(), key=lambda r: (r[0], r[1], r[2])):
         if len(text.get(lang, "")) < chars:
