@@ -10,7 +10,8 @@ e+1 tries, each keyed by one block. Inside a trie, pairs of nodes are
 traversed together from the root pair, differing bits are accumulated, and a
 pair is dropped as soon as they exceed the budget. A trie of more than
 TRIE_KEYS fingerprints is first cut into pairs of subtrees, with the same
-budget, so no task holds an unbounded trie. A task emits a spanning forest of
+budget, and the pairs that still hold too many are cut again, deeper, until none does; so
+no task holds an unbounded trie, however the fingerprints are spread. A task emits a spanning forest of
 the links it has found, not all pairs, which loses no component.
 
 Defined cases: null text and text without words have fingerprint zero and link
@@ -169,35 +170,40 @@ def links(prints: DataFrame, budget: int = BUDGET, trie_keys: int = TRIE_KEYS) -
             key = np.concatenate([(rotated(fp, s, w) >> np.uint64(BITS - w)).astype(np.int64) * len(spans) + k for k, (s, w) in enumerate(spans)])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(fp.view(np.int64), len(spans)))], ["trie", "fp"])
 
-    routed = prints.select("fp").mapInArrow(route, "trie long, fp long")
-    sizes = routed.groupBy("trie").count().where(F.col("count") > trie_keys)
-    sizes = written(sizes, "hot-tries")  # at most one row for every trie_keys fingerprints
-    hot = not sizes.isEmpty()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each fingerprint of a hot trie goes to every pair of subtrees it takes part in."""
+        """Each fingerprint of a pair of subtrees (lo, hi) that holds too many goes to every pair of
+        deeper subtrees that it takes part in and that is within the budget."""
         for batch in batches:
-            trie, fp, count = (batch.column(c).to_numpy() for c in ("trie", "fp", "count"))
-            out_t, out_f, out_p, out_d = [], [], [], []
-            for t in np.unique(trie):
-                mine = fp[trie == t]
-                shift, width = spans[int(t) % len(spans)]
-                depth = min(BITS - width, max(1, int(np.ceil(np.log2(count[trie == t][0] / trie_keys))) + 2), 30)
-                below = (rotated(mine.view(np.uint64), shift, width) >> np.uint64(BITS - width - depth)).astype(np.int64) & ((1 << depth) - 1)
-                for flips in [c for e in range(budget + 1) for c in combinations(range(depth), e)]:
-                    other = below ^ sum(1 << f for f in flips)
-                    lo, hi = np.minimum(below, other), np.maximum(below, other)
-                    out_t.append(np.full(len(mine), t))
-                    out_f.append(mine)
-                    out_p.append((lo << 31) | hi)
-                    out_d.append(np.full(len(mine), depth, np.int32))
-            if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_t, out_f, out_p, out_d)], ["trie", "fp", "pair", "depth"])
-
-    plain = routed.select("trie", "fp", F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("depth"))
-    if hot:
-        plain = routed.join(sizes, "trie", "left_anti").select(*plain.columns[:2], F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("depth"))
-        plain = plain.union(routed.join(sizes, "trie").mapInArrow(cut, plain.schema))
+            trie, fp, low, high, depth, count = (batch.column(c).to_numpy() for c in ("trie", "fp", "lo", "hi", "depth", "count"))
+            out: list = [[], [], [], [], []]
+            key = np.stack([trie, low, high, depth.astype(np.int64)], 1)
+            for one in np.unique(key, axis=0):
+                mine = np.flatnonzero((key == one).all(axis=1))
+                t, lo, hi, d = one.tolist()
+                shift, width = spans[t % len(spans)]
+                more = min(BITS - width - d, max(1, int(np.ceil(np.log2(count[mine[0]] / trie_keys))) + 2), 10)
+                whole = rotated(fp[mine].view(np.uint64), shift, width) & np.uint64((1 << (BITS - width)) - 1)
+                below = (whole >> np.uint64(BITS - width - d - more)).astype(np.int64)
+                spent = (lo ^ hi).bit_count()
+                # the prefix on the other side: the other subtree's, with up to the rest of the budget flipped below it
+                across = (np.where(below >> more == lo, hi, lo) << more) | (below & ((1 << more) - 1))
+                for flips in [c for e in range(budget - spent + 1) for c in combinations(range(more), e)]:
+                    other = across ^ sum(1 << f for f in flips)
+                    for held, x in zip(out, (np.full(len(mine), t), fp[mine], np.minimum(below, other), np.maximum(below, other), np.full(len(mine), d + more, np.int32)), strict=True):
+                        held.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["trie", "fp", "lo", "hi", "depth"])
+
+    node = ["trie", "lo", "hi", "depth"]
+    pending = prints.select("fp").mapInArrow(route, "trie long, fp long").select("trie", "fp", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("depth"))
+    plain = None
+    while True:
+        sizes = written(pending.groupBy(*node).count().where((F.col("count") > trie_keys) & (F.col("depth") < BITS - max(w for _, w in spans))), "hot-tries")  # at most one row for every trie_keys of them
+        small = pending if sizes.isEmpty() else pending.join(sizes, node, "left_anti").select(*pending.columns)
+        plain = small if plain is None else plain.union(small)
+        if sizes.isEmpty():
+            break
+        pending = written(pending.join(sizes, node).mapInArrow(cut, pending.schema), "cut-tries")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One partition: its tries, one after another in bounded groups."""
@@ -210,32 +216,30 @@ def links(prints: DataFrame, budget: int = BUDGET, trie_keys: int = TRIE_KEYS) -
                     continue
             if rest is None or not rest.num_rows:
                 return
-            trie, pair, fp, depth = (rest.column(c).to_numpy() for c in ("trie", "pair", "fp", "depth"))
-            end = len(trie)
-            if batch is not None:  # the last trie may go on in the next batch
-                last = (trie == trie[-1]) & (pair == pair[-1])
-                end = int(np.argmax(last))
-            yield from edges_of(trie[:end], pair[:end], fp[:end], depth[:end])
+            trie, lo, hi, depth, fp = (rest.column(c).to_numpy() for c in (*node, "fp"))
+            new = np.r_[True, (np.diff(trie) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0) | (np.diff(depth) != 0)]
+            end = len(trie) if batch is None else int(np.flatnonzero(new)[-1])  # the last node may go on in the next batch
+            yield from edges_of(trie[:end], lo[:end], hi[:end], depth[:end], fp[:end], new[:end])
             rest = rest.slice(end)
 
-    def edges_of(trie, pair, fp, depth) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    def edges_of(trie, low, high, depth, fp, new) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         for k, (shift, width) in enumerate(spans):
             mine = np.flatnonzero(trie % len(spans) == k)
             if not len(mine):
                 continue
             keys = rotated(fp[mine].view(np.uint64), shift, width)
-            border = np.flatnonzero(np.r_[True, (np.diff(trie[mine]) != 0) | (np.diff(pair[mine]) != 0)])
+            border = np.flatnonzero(np.r_[True, new[mine][1:] | (np.diff(trie[mine]) != 0)])
             stop = np.r_[border[1:], len(mine)]
             many = stop - border > 1
             for lo, hi in zip(border[many].tolist(), stop[many].tolist(), strict=True):
-                part, p, d = np.sort(keys[lo:hi]), int(pair[mine[lo]]), int(depth[mine[lo]])
-                n = len(part)
-                if p < 0:
-                    roots = [(0, n, 0, n, 0)]
+                part, at = np.sort(keys[lo:hi]), mine[lo]
+                n, d, p, q = len(part), int(depth[at]), int(low[at]), int(high[at])
+                if p == q:
+                    roots = [(0, n, 0, n, width + d if d else 0)]
                 else:  # a pair of subtrees: the two prefixes below the block
-                    below = (part >> np.uint64(BITS - width - d)).astype(np.int64) & ((1 << d) - 1)
-                    mid = int(np.searchsorted(below, p & (2**31 - 1)))
-                    roots = [(0, n, 0, n, width + d)] if p >> 31 == p & (2**31 - 1) else [(0, mid, mid, n, width + d)]
+                    below = ((part & np.uint64((1 << (BITS - width)) - 1)) >> np.uint64(BITS - width - d)).astype(np.int64)
+                    mid = int(np.searchsorted(below, q))
+                    roots = [(0, mid, mid, n, width + d)]
                 i, j = trie_pairs(part, roots, budget)
                 if len(i):
                     up = (BITS - shift - width) % BITS
@@ -244,7 +248,7 @@ def links(prints: DataFrame, budget: int = BUDGET, trie_keys: int = TRIE_KEYS) -
                     yield pa.RecordBatch.from_arrays([pa.array(back[tree[:, 0]].view(np.int64)), pa.array(back[tree[:, 1]].view(np.int64))], ["a", "b"])
 
     parts = max(partitions_for(total * len(spans), 8 * trie_keys), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = plain.repartition(parts, "trie", "pair").sortWithinPartitions("trie", "pair")
+    placed = plain.repartition(parts, *node).sortWithinPartitions(*node)
     return placed.mapInArrow(traverse, "a long, b long")
 
 
