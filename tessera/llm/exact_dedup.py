@@ -124,10 +124,11 @@ def bucket_of(h64: str, buckets: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h64, 17), F.lit(buckets)).cast("int")
 
 
-def build_snapshot(rows: DataFrame) -> Snapshot:
-    """An immutable snapshot of rows (doc_id, sha, h64)."""
+def build_snapshot(rows: DataFrame, incoming: int = 0) -> Snapshot:
+    """An immutable snapshot of rows (doc_id, sha, h64), with as many buckets as keep both its
+    own digests and those of a batch of `incoming` to KEYS_PER_BUCKET in one."""
     entries = written(distinct_texts(rows), "snapshot")
-    buckets = partitions_for(entries.count(), KEYS_PER_BUCKET)
+    buckets = partitions_for(max(entries.count(), incoming), KEYS_PER_BUCKET)
     entries = entries.withColumn("bucket", bucket_of("h64", buckets))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -165,19 +166,18 @@ def same_bytes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, split_at: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
-    Ids below split_at (by default the middle of the id range) make the
-    snapshot, the others arrive as a batch, so both paths carry real load.
+    Ids below split_at (by default about their median) make the snapshot, the others
+    arrive as a batch, so both paths carry real load.
     """
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     if split_at is None:
-        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-        split_at = 0 if low is None else (low + high + 1) // 2
+        split_at = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
     text = normalised()
     rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("h64"), F.when(F.col("doc_id") < split_at, 0).otherwise(1).alias("batch"))
     rows = written(rows, "digests")
-    snapshot = build_snapshot(rows.where("batch = 0"))
     incoming = written(distinct_texts(rows.where("batch = 1")), "incoming")
+    snapshot = build_snapshot(rows.where("batch = 0"), incoming.count())
     positive = screen(snapshot, incoming)
     old = snapshot.entries.select("sha", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n"))
     pairs = written(positive.select("sha", F.col("keep_id").alias("new_id"), F.col("n").alias("new_n")).join(old, "sha"), "pairs")
