@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import CHUNK_BATCH, chunk_store, expand, squash, unpack_lines
+from tessera.llm.chunks import chunk_store, expand, squash, unpack_lines
 from tessera.llm.common import documents, partitions_for, tune, written
 
 WINDOW = 13
@@ -109,12 +109,12 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
 
 def dealt(values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """(bucket, slice) of sorted uint64 values: ranges of equal width."""
-    width = (1 << 64) // buckets + 1
-    edges = np.searchsorted(values, np.array([min(width * b, (1 << 64) - 1) for b in range(buckets + 1)], np.uint64))
-    edges[-1] = len(values)
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, slice(int(edges[b]), int(edges[b + 1]))
+    if not len(values):
+        return
+    which = values // np.uint64(min((1 << 64) // buckets + 1, (1 << 64) - 1))
+    edges = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(which)], strict=True):
+        yield int(which[a]), slice(a, b)
 
 
 def least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +309,9 @@ def substring_dedup(docs: DataFrame, spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with spans also the
     maximal repeats as lists of first and last word, and the kept text."""
     spark = docs.sparkSession
-    store = chunk_store(docs, False)
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("substring dedup orders documents by an integer doc_id")
+    store = chunk_store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), False)
     size = store.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(partitions_for(size, 16_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = travelling_bits(size)
@@ -338,7 +340,7 @@ def substring_dedup(docs: DataFrame, spans: bool = False) -> DataFrame:
                 yield _batch(columns, kinds, names)
 
     joined = store.join(anchors, "chunk_id", "left").join(seen, "chunk_id", "left").select("ids", "n", "lines", "anchors", "seen")
-    tune(spark, CHUNK_BATCH)
+    tune(spark)
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", spans array<array<long>>, kept string" if spans else ""))
 
 
