@@ -123,3 +123,26 @@ def cmyk(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column, Colum
     k = F.lit(1.0) - F.greatest(r, g, b)
     part = lambda v: F.when(k >= 1, 0.0).otherwise((F.lit(1.0) - v - k) / (F.lit(1.0) - k))
     return part(r), part(g), part(b), k
+
+
+# The D50 white point and the rows that take D50 XYZ to linear sRGB.
+D50 = (0.3457 / 0.3585, 1.0, (1.0 - 0.3457 - 0.3585) / 0.3585)
+FROM_XYZ_D50 = ((3.1341359569958707, -1.6173863321612538, -0.4906619460083532), (-0.978795502912089, 1.9161404236526823, 0.033442731161319486), (0.07195537988411677, -0.22897682641583285, 1.4053400641663395))
+
+
+def lab_to_srgb(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CSS Lab, which refers to D50, as clamped sRGB."""
+    low, slope = 216 / 24389, 24389 / 27
+    fy = (l + 16) / 116
+    cube = lambda f: F.when(f * f * f > low, f * f * f).otherwise((f * 116 - 16) / slope)
+    xyz = [cube(f) * w for f, w in zip((fy + a / 500, fy, fy - b / 200), D50, strict=True)]
+    return tuple(from_linear(dot(row, *xyz)) for row in FROM_XYZ_D50)
+
+
+def lch_to_srgb(l: Column, c: Column, h: Column) -> tuple[Column, Column, Column]:
+    return lab_to_srgb(l, *polar_to_lab(c, h))
+
+
+def polar_to_lab(c: Column, degrees: Column) -> tuple[Column, Column]:
+    """The two axes of a chroma and a hue in degrees."""
+    return c * F.cos(F.radians(degrees)), c * F.sin(F.radians(degrees))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,12 +48,101 @@ def crosses(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
     return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
 
 
-def fit_circles(points: DataFrame, key: str, least: int = 17) -> DataFrame:
-    """key, cx, cy, radius by least squares on centred sums; two aggregations, no Python."""
-    mean = points.groupBy(key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n")).where(F.col("n") >= least)
-    c = points.join(mean, key).select(key, "mx", "my", "n", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"))
+def octant(nx: Column, ny: Column) -> tuple[Column, Column]:
+    """The larger and the smaller part of a direction's unit vector."""
+    length = F.sqrt(nx * nx + ny * ny)
+    return F.greatest(F.abs(nx), F.abs(ny)) / length, F.least(F.abs(nx), F.abs(ny)) / length
+
+
+def coverage_for_offset(offset: Column, a: Column, b: Column) -> Column:
+    """The share of a unit square behind a line whose direction's octant is (a, b), at a signed distance from its centre."""
+    support, inner = (a + b) / 2, (a - b) / 2
+    low, high = offset + support, support - offset
+    return F.when(offset <= -support, 0.0).when(offset >= support, 1.0).when(offset <= -inner, low * low / (a * b * 2)).when(offset >= inner, F.lit(1.0) - high * high / (a * b * 2)).otherwise(offset / a + 0.5)
+
+
+def offset_for_coverage(coverage: Column, a: Column, b: Column) -> Column:
+    """The inverse of coverage_for_offset."""
+    share = F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0))
+    support, corner = (a + b) / 2, b / (a * 2)
+    root = lambda v: F.sqrt(F.greatest(a * b * v * 2, F.lit(0.0)))
+    return F.when(share <= corner, root(share) - support).when(share >= F.lit(1.0) - corner, support - root(F.lit(1.0) - share)).otherwise(a * (share - 0.5))
+
+
+#: How often a curve is halved at most.
+MOST_HALVINGS = 10
+
+
+def chord_bound(p0: tuple, p1: tuple, p2: tuple, p3: tuple) -> Column:
+    """How far a cubic may be from its chord: how far its control points are from the chord's thirds."""
+    third = lambda k, share: p0[k] + (p3[k] - p0[k]) * share
+    return F.greatest(distance(*p1, third(0, 1 / 3), third(1, 1 / 3)), distance(*p2, third(0, 2 / 3), third(1, 2 / 3)))
+
+
+def flatten_depth(bound: Column, tolerance: float) -> Column:
+    """The least number of halvings after which a quarter of the bound for each is within the tolerance; null beyond MOST_HALVINGS."""
+    out = F.lit(None).cast("int")
+    for depth in range(MOST_HALVINGS, -1, -1):
+        out = F.when(bound / 4**depth <= tolerance, depth).otherwise(out)
+    return out
+
+
+def flatten(p0: tuple, p1: tuple, p2: tuple, p3: tuple, depth: Column) -> Column:
+    """The points of a cubic at equal steps of its parameter; first and last are its own ends."""
+    steps = F.pow(F.lit(2), depth).cast("int")
+
+    def at(i: Column) -> Column:
+        t = i / steps
+        u = F.lit(1.0) - t
+        inner = lambda k: u * u * u * p0[k] + u * u * t * 3 * p1[k] + u * t * t * 3 * p2[k] + t * t * t * p3[k]
+        pick = lambda k: F.when(i == 0, p0[k]).when(i == steps, p3[k]).otherwise(inner(k))
+        return F.struct(pick(0).alias("x"), pick(1).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), steps), at)
+
+
+def turning(p0: tuple, p1: tuple, p2: tuple, p3: tuple, samples: int) -> Column:
+    """The angles between a cubic's slopes at equal steps, added up; infinite where a slope vanishes."""
+    slope = lambda k, t: (p1[k] - p0[k]) * (3 * (1 - t) ** 2) + (p2[k] - p1[k]) * (6 * (1 - t) * t) + (p3[k] - p2[k]) * (3 * t * t)
+    each = [(slope(0, i / samples), slope(1, i / samples)) for i in range(samples + 1)]
+    size = [F.sqrt(x * x + y * y) for x, y in each]
+    total, lost = F.lit(0.0), size[0] <= 1e-12
+    for (ax, ay), (bx, by), n, m in zip(each, each[1:], size, size[1:], strict=False):
+        total = total + F.acos(F.least(F.greatest((ax * bx + ay * by) / (n * m), F.lit(-1.0)), F.lit(1.0)))
+        lost = lost | (m <= 1e-12)
+    return F.when(lost, float("inf")).otherwise(total)
+
+
+#: Quantised comparisons of lengths and ratios.
+GRID = 1e6
+
+
+def quantised(v: Column) -> Column:
+    return F.signum(v) * F.floor(F.abs(v) * GRID + 0.5)
+
+
+def fit_circles(points: DataFrame, key: str, tolerance: float, least: int = 17) -> DataFrame:
+    """key, cx, cy, radius of the closed loops (key, i, x, y) that are whole circles within a tolerance: an algebraic fit on
+    centred sums scaled by their root mean square, then the mean distance as radius; refused are loops of too few samples, of nearly no
+    width, that cover less than 0.95 of a turn, wind more than 1.1, leave a gap over a tenth, or whose distances
+    from the circle exceed the tolerance (half of it at the 95th of a hundred, all at the 99th, one and a half at most).
+    The last sample of a loop repeats its first. Aggregations and windows within a loop, no Python."""
+    order = Window.partitionBy(key).orderBy("i")
+    whole = points.withColumns({"x1": F.lead("x").over(order), "y1": F.lead("y").over(order)})
+    body = whole.where("x1 IS NOT NULL")  # all samples but the one that closes the loop
+    mean = body.groupBy(key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n")).where(F.col("n") + 1 >= least)
     total = lambda e, name: F.sum(F.expr(e)).alias(name)
-    s = c.groupBy(key, "mx", "my", "n").agg(total("u*u", "uu"), total("u*v", "uv"), total("v*v", "vv"), total("u*u*u + u*v*v", "ru"), total("v*v*v + v*u*u", "rv"))
-    det = "(2 * (uu * vv - uv * uv))"
-    s = s.withColumns({"du": F.expr(f"(ru * vv - rv * uv) / nullif({det}, 0)"), "dv": F.expr(f"(rv * uu - ru * uv) / nullif({det}, 0)")})
-    return s.select(key, F.expr("mx + du").alias("cx"), F.expr("my + dv").alias("cy"), F.expr("sqrt(du * du + dv * dv + (uu + vv) / n)").alias("radius"))
+    c = body.join(mean, key).withColumns({"u": F.col("x") - F.col("mx"), "v": F.col("y") - F.col("my")})
+    s = c.groupBy(key, "mx", "my", "n").agg(total("u*u", "uu"), total("u*v", "uv"), total("v*v", "vv"), total("u*(u*u + v*v)", "uz"), total("v*(u*u + v*v)", "vz"))
+    s = s.withColumns({"det": F.expr("uu * vv - uv * uv"), "rms": F.expr("sqrt((uu + vv) / n)")}).where((quantised(F.col("rms")) > 0) & (quantised(F.expr("det / ((uu + vv) * (uu + vv))")) >= quantised(F.lit(1e-3))))
+    s = s.select(key, "n", F.expr("mx + 0.5 * (uz * vv - vz * uv) / det").alias("cx"), F.expr("my + 0.5 * (vz * uu - uz * uv) / det").alias("cy"))
+    around = body.join(s, key).withColumns({"ax": F.col("x") - F.col("cx"), "ay": F.col("y") - F.col("cy"), "bx": F.col("x1") - F.col("cx"), "by": F.col("y1") - F.col("cy")})
+    around = around.withColumns({"turn": F.expr("atan2(ax * by - ay * bx, ax * bx + ay * by) / (2 * pi())"), "far": F.expr("sqrt(ax * ax + ay * ay)")})
+    turns = around.groupBy(key, "cx", "cy", "n").agg(F.abs(F.sum("turn")).alias("support"), F.sum(F.abs("turn")).alias("winding"), F.max(F.abs("turn")).alias("gap"), F.avg("far").alias("radius"))
+    turns = turns.where((quantised(F.col("radius")) > 0) & (quantised(F.col("support")) >= quantised(F.lit(0.95))) & (quantised(F.col("winding")) <= quantised(F.lit(1.1))) & (quantised(F.col("gap")) <= quantised(F.lit(0.1))))
+    wrong = around.select(key, "far").join(turns.select(key, "radius", "n"), key).withColumn("wrong", F.abs(F.col("far") - F.col("radius")))
+    rank = wrong.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("wrong")) - 1)
+    pick = lambda p: F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * p / 100), F.col("wrong")))
+    gate = rank.groupBy(key).agg(pick(95).alias("p95"), pick(99).alias("p99"), F.max("wrong").alias("most"))
+    good = gate.where((quantised(F.col("p95")) <= quantised(F.lit(tolerance * 0.5))) & (quantised(F.col("p99")) <= quantised(F.lit(tolerance))) & (quantised(F.col("most")) <= quantised(F.lit(tolerance * 1.5))))
+    return turns.join(good, key).select(key, "cx", "cy", "radius")

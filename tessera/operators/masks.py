@@ -1,17 +1,22 @@
 """Masks as sparse relations of pixels: morphology, components, policies.
 
-A mask is a DataFrame of (x, y), at most once each. Nothing here is limited to
-one image in memory: neighbours are equi-joins, components work on runs.
+A mask is a DataFrame of (image_id, x, y), at most once each; px holds all pixels of the
+images, whose extent is taken from it. Nothing here is limited to one image, or to an image in
+memory: neighbours are equi-joins within an image, components work on runs.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graphs import connected_components
+from tessera.operators.lineage import written
+
+AT = ["image_id", "x", "y"]
+#: The policies for islands, the first of which stands in for an unknown one.
+ISLAND_POLICIES = ("hole_or_layer", "hole", "layer", "ignore")
+
 
 def disc(radius: float) -> list[tuple[int, int]]:
     """Offsets within a radius; below one pixel only the centre."""
@@ -19,126 +24,122 @@ def disc(radius: float) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-n, n + 1) for dx in range(-n, n + 1) if dx * dx + dy * dy <= radius * radius]
 
 
-def dilate(mask: DataFrame, radius: float, width: int, height: int) -> DataFrame:
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc(radius)])
-    spread = mask.select("x", "y", F.explode(offsets).alias("o")).select((F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return spread.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height)).distinct()
+def frames(px: DataFrame) -> DataFrame:
+    """(image_id, width, height): one row for an image."""
+    return px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-def erode(mask: DataFrame, radius: float, width: int, height: int, frame: DataFrame) -> DataFrame:
-    """The frame's edge is neutral: only pixels of the frame outside the mask eat into it."""
-    outside = frame.select("x", "y").join(mask, ["x", "y"], "left_anti")
-    return mask.join(dilate(outside, radius, width, height), ["x", "y"], "left_anti")
+def shifted(mask: DataFrame, offsets: list[tuple[int, int]], *keep: str) -> DataFrame:
+    """Every pixel at every offset, with the columns keep."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
+    return mask.select("image_id", "x", "y", *keep, F.explode(steps).alias("o")).select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), *keep)
 
 
-def offset(mask: DataFrame, radius: float, width: int, height: int, frame: DataFrame) -> DataFrame:
-    if radius > 0:
-        return dilate(mask, radius, width, height)
-    return erode(mask, -radius, width, height, frame) if radius < 0 else mask
+def dilate(mask: DataFrame, radius: float, px: DataFrame) -> DataFrame:
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))
+    return shifted(mask, disc(radius)).distinct().join(frames(px), "image_id").where(inside).select(*AT)
 
 
-def thin(mask: DataFrame, size: float, width: int, height: int, frame: DataFrame) -> DataFrame:
-    opened = dilate(erode(mask, size / 2, width, height, frame), size / 2, width, height)
-    return mask.join(opened, ["x", "y"], "left_anti")
+def erode(mask: DataFrame, radius: float, px: DataFrame) -> DataFrame:
+    """The frame's edge is neutral: only pixels of the image outside the mask eat into it."""
+    outside = px.select(*AT).join(mask, AT, "left_anti")
+    return mask.join(dilate(outside, radius, px), AT, "left_anti")
 
 
-def restore_thin(original: DataFrame, cleaned: DataFrame, size: float, width: int, height: int, frame: DataFrame) -> DataFrame:
-    lost = original.join(cleaned, ["x", "y"], "left_anti")
-    return cleaned.union(lost.join(thin(original, size, width, height, frame), ["x", "y"], "left_semi"))
+def offset(mask: DataFrame, radius: float, px: DataFrame) -> DataFrame:
+    if radius > 0:
+        return dilate(mask, radius, px)
+    return erode(mask, -radius, px) if radius < 0 else mask
+
 
+def thin(mask: DataFrame, size: float, px: DataFrame) -> DataFrame:
+    return mask.join(dilate(erode(mask, size / 2, px), size / 2, px), AT, "left_anti")
 
-def underlap(mask: DataFrame, silhouette: DataFrame, radius: float, width: int, height: int) -> DataFrame:
-    return dilate(mask, radius, width, height).join(silhouette, ["x", "y"], "left_semi") if radius > 0 else mask
 
+def restore_thin(original: DataFrame, cleaned: DataFrame, size: float, px: DataFrame) -> DataFrame:
+    lost = original.join(cleaned, AT, "left_anti")
+    return cleaned.union(lost.join(thin(original, size, px), AT, "left_semi"))
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with Parquet in the session's checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/masks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def underlap(mask: DataFrame, silhouette: DataFrame, radius: float, px: DataFrame, preserve_outer_silhouette: bool = True) -> DataFrame:
+    """The mask grown under its neighbours; kept inside the silhouette unless told otherwise."""
+    if radius <= 0:
+        return mask
+    grown = dilate(mask, radius, px)
+    return grown.join(silhouette, AT, "left_semi") if preserve_outer_silhouette else grown
 
 
-def runs(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Horizontal runs (keys, y, x0, x1): far fewer rows than pixels."""
-    keys = keys or []
-    row = Window.partitionBy(*keys, "y").orderBy("x")
+def runs(mask: DataFrame) -> DataFrame:
+    """Horizontal runs (image_id, y, x0, x1): far fewer rows than pixels."""
+    row = Window.partitionBy("image_id", "y").orderBy("x")
     # within a row of consecutive pixels x - rank is constant
-    return mask.withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy(*keys, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
+    return mask.withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy("image_id", "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
 
 
-def components(mask: DataFrame, width: int, keys: list[str] | None = None) -> DataFrame:
-    """4-connected components: (keys, x, y, component), named by their smallest y * width + x.
+def components(mask: DataFrame, px: DataFrame) -> DataFrame:
+    """4-connected components: (image_id, x, y, component), named by their smallest y * width + x.
 
-    Runs of neighbouring rows that overlap are linked; then each run takes the
-    least name among its links and pointers are doubled until nothing moves.
+    Runs of neighbouring rows that overlap are linked; the links are contracted.
     """
-    keys = keys or []
-    run = _cut(runs(mask, keys).withColumn("id", F.col("y") * width + F.col("x0")))
-    below = run.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("id").alias("b"))
-    link = run.join(below, [*keys, "y"]).where("x0 <= bx1 AND bx0 <= x1").select(F.col("id").alias("a"), "b")
-    link = _cut(link.union(link.select("b", "a")))
-    name = _cut(run.select("id", F.col("id").alias("root")))
-    while True:
-        near = link.join(name.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = name.join(near, name["id"] == near["a"], "left").select("id", "root", F.least("root", "near").alias("next"))
-        # a root that found a better name passes it on to all that point at it
-        lift = step.groupBy(F.col("root").alias("old")).agg(F.min("next").alias("best"))
-        step = _cut(step.join(lift, step["root"] == lift["old"]).select("id", F.least("next", "best").alias("new"), "root"))
-        moved = not step.where("new <> root").isEmpty()
-        name = step.select("id", F.col("new").alias("root"))
-        if not moved:
-            break
-    runs_named = run.join(name, "id")
-    return runs_named.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y", F.col("root").alias("component"))
-
-
-def on_border(width: int, height: int):
-    return (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == width - 1) | (F.col("y") == height - 1)
-
-
-def sizes(parts: DataFrame, width: int, height: int) -> DataFrame:
-    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("area"), F.max(on_border(width, height)).alias("touches_frame"))
-
-
-def remove_speckles(mask: DataFrame, least: int, width: int, height: int) -> DataFrame:
+    run = written(runs(mask).join(frames(px), "image_id").select("image_id", "y", "x0", "x1", F.struct("image_id", (F.col("y") * F.col("width") + F.col("x0")).alias("id")).alias("run")), "runs")
+    below = run.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("b"))
+    link = run.join(below, ["image_id", "y"]).where("x0 <= bx1 AND bx0 <= x1").select(F.col("run").alias("a"), "b")
+    named = run.join(connected_components(link).select(F.col("node").alias("run"), "component"), "run", "left")
+    return named.select("image_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", F.coalesce("component", "run")["id"].alias("component"))
+
+
+def sizes(parts: DataFrame, px: DataFrame) -> DataFrame:
+    """(image_id, component, area, touches_frame)."""
+    box = parts.groupBy("image_id", "component").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    touches = (F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("width") - 1) | (F.col("y1") == F.col("height") - 1)
+    return box.join(frames(px), "image_id").select("image_id", "component", "area", touches.alias("touches_frame"))
+
+
+def _those(parts: DataFrame, chosen: DataFrame) -> DataFrame:
+    return parts.join(chosen, ["image_id", "component"], "left_semi").select(*AT)
+
+
+def remove_speckles(mask: DataFrame, least: int, px: DataFrame) -> DataFrame:
     if least <= 1:
         return mask
-    parts = _cut(components(mask, width))
-    return parts.join(sizes(parts, width, height).where(F.col("area") >= least), "component", "left_semi").select("x", "y")
+    parts = written(components(mask, px), "parts")
+    return _those(parts, sizes(parts, px).where(F.col("area") >= least))
 
 
-def fill_holes(mask: DataFrame, most: int, width: int, height: int, frame: DataFrame) -> DataFrame:
+def fill_holes(mask: DataFrame, most: int, px: DataFrame) -> DataFrame:
     if most <= 0:
         return mask
-    parts = _cut(components(frame.select("x", "y").join(mask, ["x", "y"], "left_anti"), width))
-    holes = sizes(parts, width, height).where(~F.col("touches_frame") & (F.col("area") <= most))
-    return mask.union(parts.join(holes, "component", "left_semi").select("x", "y"))
+    parts = written(components(px.select(*AT).join(mask, AT, "left_anti"), px), "parts")
+    return mask.union(_those(parts, sizes(parts, px).where(~F.col("touches_frame") & (F.col("area") <= most))))
 
 
-def edge_connected(mask: DataFrame, width: int, height: int) -> DataFrame:
-    parts = _cut(components(mask, width))
-    return parts.join(sizes(parts, width, height).where("touches_frame"), "component", "left_semi").select("x", "y")
+def edge_connected(mask: DataFrame, px: DataFrame) -> DataFrame:
+    parts = written(components(mask, px), "parts")
+    return _those(parts, sizes(parts, px).where("touches_frame"))
 
 
 def exclusive(masks: DataFrame) -> DataFrame:
-    """(x, y, entry, layer) with the topmost layer of each pixel only."""
-    return masks.groupBy("x", "y").agg(F.max_by("entry", "layer").alias("entry"))
+    """(image_id, x, y, entry) of the topmost layer of each pixel of (image_id, x, y, entry, layer)."""
+    return masks.groupBy(*AT).agg(F.max_by("entry", "layer").alias("entry"))
+
+
+SIDES = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 
 
-def islands(island: DataFrame, labels: DataFrame, width: int, height: int) -> DataFrame:
-    """(component, area, verdict, owner): an island is a hole of the one scan around it, else a layer.
+def islands(island: DataFrame, labels: DataFrame, px: DataFrame, policy: str = "hole_or_layer") -> DataFrame:
+    """(image_id, component, area, verdict, owner) of every island, by policy: a hole of the one scan around
+    it, else a layer; always a layer; or always a hole, where only one scan around it makes an owner. `ignore` leaves none.
 
-    labels: (x, y, label) of all other pixels, 0 where nothing owns them.
+    labels: (image_id, x, y, label) of all other pixels, 0 where nothing owns them.
     """
-    parts = _cut(components(island, width))
-    around = parts.select("component", F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("n")).select("component", "n.x", "n.y")
-    outside = around.join(island.select("x", "y"), ["x", "y"], "left_anti").join(labels, ["x", "y"])
-    near = outside.groupBy("component").agg(F.count_distinct("label").alias("scans"), F.min("label").alias("owner"))
-    joined = sizes(parts, width, height).join(near, "component", "left")
-    hole = ~F.col("touches_frame") & (F.col("scans") == 1) & (F.col("owner") > 0)
-    return joined.select("component", "area", F.when(hole, "hole").otherwise("layer").alias("verdict"), F.when(hole, F.col("owner")).alias("owner"))
+    parts = written(components(island, px), "parts")
+    outside = shifted(parts, SIDES, "component").join(island.select(*AT), AT, "left_anti").join(labels, AT)
+    near = outside.groupBy("image_id", "component").agg(F.count_distinct("label").alias("scans"), F.min("label").alias("owner"))
+    joined = sizes(parts, px).join(near, ["image_id", "component"], "left")
+    enclosed = ~F.col("touches_frame") & (F.col("scans") == 1) & (F.col("owner") > 0)
+    if policy not in ISLAND_POLICIES:
+        policy = ISLAND_POLICIES[0]
+    verdict = {"hole": F.lit("hole"), "layer": F.lit("layer")}.get(policy, F.when(enclosed, "hole").otherwise("layer"))
+    owner = F.when(enclosed, F.col("owner")) if policy != "layer" else F.lit(None)
+    out = joined.select("image_id", "component", "area", verdict.alias("verdict"), owner.cast("long").alias("owner"))
+    return out.where("false") if policy == "ignore" else out

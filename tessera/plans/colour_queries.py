@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color as C
 from tessera.operators import matching as M
+from tessera.operators.masks import frames
+from tessera.operators.ranking import ranked
 from tessera.operators.matching import Entry
 from tessera.plans import oracle as O
 from tessera.plans.registry import query
@@ -143,8 +145,15 @@ def j_nearest_policy(spark, d):
 _SHARE = f"{CTE},\n{O.owner_ctes(PALETTE)} SELECT owner, CAST(count(*) AS BIGINT) AS pixels, round(count(*) * 100.0 / (SELECT count(*) FROM pixel), 6) AS percent FROM owned WHERE owner IS NOT NULL GROUP BY owner"
 
 
+@query("agg_coverage_pct", f"{CTE},\n{O.owner_ctes(PALETTE)} SELECT image_id, owner, CAST(count(*) AS BIGINT) AS pixels, round(count(*) * 100.0 / any_value(n), 6) AS percent FROM owned JOIN (SELECT image_id, count(*) AS n FROM pixel GROUP BY image_id) USING (image_id) WHERE owner IS NOT NULL GROUP BY image_id, owner")
+def agg_coverage_pct(spark, d):
+    """Share of each image that a palette colour owns."""
+    owned = M.ownership(pixels(spark, d), PALETTE).groupBy("image_id", "owner").agg(F.count("*").alias("pixels"))
+    share = F.col("pixels") * 100.0 / F.sum("pixels").over(Window.partitionBy("image_id"))
+    return owned.select("image_id", "owner", "pixels", r6(share, "percent")).where("owner IS NOT NULL")
+
+
 @query("share_per_colour", _SHARE)
-@query("agg_coverage_pct", _SHARE)
 def share_per_colour(spark, d):
     """Share of the picture per palette colour: claims, then nearest, then coverage."""
     owned = M.ownership(pixels(spark, d), PALETTE).groupBy("owner").agg(F.count("*").alias("pixels"))
@@ -152,14 +161,14 @@ def share_per_colour(spark, d):
     return owned.crossJoin(F.broadcast(total)).where("owner IS NOT NULL").select("owner", "pixels", r6(F.col("pixels") * 100.0 / F.col("total"), "percent"))
 
 
-@query("agg_border_share", f"{CTE},\n{O.owner_ctes(PALETTE)},\n{O.FRAME},\nring AS (SELECT owner FROM owned, frame WHERE y = 0 UNION ALL SELECT owner FROM owned, frame WHERE y = high - 1 UNION ALL SELECT owner FROM owned WHERE x = 0 UNION ALL SELECT owner FROM owned WHERE x = 99) SELECT owner, CAST(count(*) AS BIGINT) AS border, round(count(*) * 100.0 / (SELECT count(*) FROM ring), 6) AS percent FROM ring GROUP BY owner")
+@query("agg_border_share", f"{CTE},\n{O.owner_ctes(PALETTE)},\n{O.FRAME},\nring AS (SELECT image_id, owner FROM owned WHERE y = 0 UNION ALL SELECT image_id, owner FROM owned JOIN frame USING (image_id) WHERE y = high - 1 UNION ALL SELECT image_id, owner FROM owned WHERE x = 0 UNION ALL SELECT image_id, owner FROM owned WHERE x = 99) SELECT image_id, owner, CAST(count(*) AS BIGINT) AS border, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY image_id), 6) AS percent FROM ring GROUP BY image_id, owner")
 def agg_border_share(spark, d):
-    """Corners count twice: rows and columns of the frame are added up."""
+    """Corners count twice: rows and columns of each image's frame are added up."""
     px = pixels(spark, d)
-    high = px.agg((F.max("y") + 1).alias("high"))
-    sides = sum(((c).cast("int") for c in (F.col("y") == F.col("high") - 1, F.col("x") == 0, F.col("x") == 99)), (F.col("y") == 0).cast("int"))
-    ring = M.ownership(px, PALETTE).crossJoin(F.broadcast(high)).select("owner", sides.alias("sides")).where("sides > 0").groupBy("owner").agg(F.sum("sides").alias("border"))
-    return ring.crossJoin(F.broadcast(ring.agg(F.sum("border").alias("total")))).select("owner", "border", r6(F.col("border") * 100.0 / F.col("total"), "percent"))
+    sides = sum(((c).cast("int") for c in (F.col("y") == F.col("height") - 1, F.col("x") == 0, F.col("x") == F.col("width") - 1)), (F.col("y") == 0).cast("int"))
+    ring = M.ownership(px, PALETTE).join(frames(px), "image_id").select("image_id", "owner", sides.alias("sides")).where("sides > 0").groupBy("image_id", "owner").agg(F.sum("sides").alias("border"))
+    share = F.col("border") * 100.0 / F.sum("border").over(Window.partitionBy("image_id"))
+    return ring.select("image_id", "owner", "border", r6(share, "percent"))
 
 
 @query("flt_alpha", f"WITH {O.PIXEL} SELECT pixel_id, a FROM pixel WHERE a / 255.0 >= 0.05")
@@ -223,47 +232,85 @@ def j_nearest_source(spark, d):
 _WINDOW = f"WITH {O.PIXEL}, win AS (SELECT * FROM pixel WHERE abs(x - 40) <= {{0}} AND abs(y - 5) <= {{0}})"
 
 
-@query("win_sample_exact", f"WITH {O.PIXEL} SELECT r, g, b FROM pixel WHERE x = 40 AND y = 5")
+@query("win_sample_exact", f"WITH {O.PIXEL} SELECT image_id, r, g, b FROM pixel WHERE x = 40 AND y = 5")
 def win_sample_exact(spark, d):
-    return pixels(spark, d).where("x = 40 AND y = 5").select("r", "g", "b")
+    """The pixel picked at (40, 5), in every image."""
+    return pixels(spark, d).where("x = 40 AND y = 5").select("image_id", "r", "g", "b")
 
 
-_REPRESENT = "med AS (SELECT median(r) AS mr, median(g) AS mg, median(b) AS mb FROM win) SELECT r, g, b FROM win, med ORDER BY pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2), pixel_id LIMIT 1"
+_REPRESENT = "med AS (SELECT image_id, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM win GROUP BY image_id) SELECT image_id, r, g, b FROM win JOIN med USING (image_id) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2), pixel_id) = 1"
 
 
 def represent(window):
-    """The real pixel nearest the median of each channel, first in raster order."""
-    mid = window.agg(*(F.median(c).alias("m" + c) for c in "rgb"))
+    """Of each image the real pixel nearest the median of each channel, first in raster order."""
+    mid = window.groupBy("image_id").agg(*(F.median(c).alias("m" + c) for c in "rgb"))
     gap = sum(((F.col(c) - F.col("m" + c)) * (F.col(c) - F.col("m" + c)) for c in "gb"), (F.col("r") - F.col("mr")) * (F.col("r") - F.col("mr")))
-    return window.crossJoin(F.broadcast(mid)).agg(F.min_by(F.struct("r", "g", "b"), F.struct(gap, F.col("pixel_id"))).alias("p")).select("p.r", "p.g", "p.b")
+    return window.join(mid, "image_id").groupBy("image_id").agg(F.min_by(F.struct("r", "g", "b"), F.struct(gap, F.col("pixel_id"))).alias("p")).select("image_id", "p.r", "p.g", "p.b")
 
 
 @query("win_sample_5x5", f"{_WINDOW.format(2)}, {_REPRESENT}")
-@query("agg_median_pixel", f"{_WINDOW.format(2)}, {_REPRESENT}")
 def win_sample_5x5(spark, d):
     return represent(pixels(spark, d).where("abs(x - 40) <= 2 AND abs(y - 5) <= 2"))
 
 
-@query("agg_mode_bucket", f"{_WINDOW.format(7)} SELECT CAST(round(r * 31 / 255.0) * 1024 + round(g * 31 / 255.0) * 32 + round(b * 31 / 255.0) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM win GROUP BY bucket ORDER BY n DESC, bucket LIMIT 1")
-def agg_mode_bucket(spark, d):
+@query("agg_median_pixel", f"{_WINDOW.format(2)} SELECT image_id, round(median(r), 3) AS r, round(median(g), 3) AS g, round(median(b), 3) AS b FROM win GROUP BY image_id")
+def agg_median_pixel(spark, d):
+    return pixels(spark, d).where("abs(x - 40) <= 2 AND abs(y - 5) <= 2").groupBy("image_id").agg(*(F.round(F.median(c), 3).alias(c) for c in "rgb"))
+
+
+def bucket():
     five = [F.round(F.col(c) * 31 / 255.0).cast("long") for c in "rgb"]
-    counts = pixels(spark, d).where("abs(x - 40) <= 7 AND abs(y - 5) <= 7").groupBy((five[0] * 1024 + five[1] * 32 + five[2]).alias("bucket")).agg(F.count("*").alias("n"))
-    return counts.agg(F.min(F.struct(-F.col("n"), F.col("bucket"))).alias("p"), F.max("n").alias("n")).select("p.bucket", "n")
+    return five[0] * 1024 + five[1] * 32 + five[2]
+
 
+_BUCKET = "CAST(round(r * 31 / 255.0) * 1024 + round(g * 31 / 255.0) * 32 + round(b * 31 / 255.0) AS BIGINT) AS bucket"
+
+
+def commonest(win):
+    """(image_id, bucket, n) of each image's commonest bucket, the lowest on ties."""
+    counts = win.groupBy("image_id", "bucket").agg(F.count("*").alias("n"))
+    return counts.groupBy("image_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "bucket")).alias("p")).select("image_id", "p.bucket", (-F.col("p.n")).alias("n"))
+
+
+@query("agg_mode_bucket", f"{_WINDOW.format(7)}, c AS (SELECT image_id, {_BUCKET}, CAST(count(*) AS BIGINT) AS n FROM win GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bucket) = 1")
+def agg_mode_bucket(spark, d):
+    return commonest(pixels(spark, d).where("abs(x - 40) <= 7 AND abs(y - 5) <= 7").withColumn("bucket", bucket()))
 
-@query("win_sample_15x15", f"WITH {O.PIXEL}, zone0 AS (SELECT *, CAST(round(r * 31 / 255.0) * 1024 + round(g * 31 / 255.0) * 32 + round(b * 31 / 255.0) AS BIGINT) AS bucket FROM pixel WHERE abs(x - 40) <= 7 AND abs(y - 5) <= 7), top AS (SELECT bucket FROM zone0 GROUP BY bucket ORDER BY count(*) DESC, bucket LIMIT 1), win AS (SELECT * FROM zone0 WHERE bucket = (SELECT bucket FROM top)), {_REPRESENT}")
+
+@query("win_sample_15x15", f"WITH {O.PIXEL}, zone0 AS (SELECT *, {_BUCKET} FROM pixel WHERE abs(x - 40) <= 7 AND abs(y - 5) <= 7), counts AS (SELECT image_id, bucket, count(*) AS n FROM zone0 GROUP BY ALL), top AS (SELECT image_id, bucket FROM counts QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bucket) = 1), win AS (SELECT zone0.* FROM zone0 SEMI JOIN top USING (image_id, bucket)), {_REPRESENT}")
 def win_sample_15x15(spark, d):
-    five = [F.round(F.col(c) * 31 / 255.0).cast("long") for c in "rgb"]
-    win = pixels(spark, d).where("abs(x - 40) <= 7 AND abs(y - 5) <= 7").withColumn("bucket", five[0] * 1024 + five[1] * 32 + five[2])
-    top = win.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), F.col("bucket"))).alias("p")).select("p.bucket")
-    return represent(win.join(F.broadcast(top), "bucket", "left_semi"))
+    win = pixels(spark, d).where("abs(x - 40) <= 7 AND abs(y - 5) <= 7").withColumn("bucket", bucket())
+    return represent(win.join(commonest(win), ["image_id", "bucket"], "left_semi"))
 
 
-@query("srt_hist", f"WITH {O.PIXEL}, c AS (SELECT r * 65536 + g * 256 + b AS packed, count(*) AS n FROM pixel GROUP BY packed) SELECT packed, CAST(n AS BIGINT) AS weight, CAST(row_number() OVER (ORDER BY n DESC, packed) AS BIGINT) AS place FROM c ORDER BY n DESC, packed LIMIT 32")
+@query("srt_hist", f"WITH {O.PIXEL}, c AS (SELECT r * 65536 + g * 256 + b AS packed, count(*) AS n FROM pixel GROUP BY packed) SELECT packed, CAST(n AS BIGINT) AS weight, CAST(row_number() OVER (ORDER BY n DESC, packed) AS BIGINT) AS place FROM c")
 def srt_hist(spark, d):
-    """The 32 commonest colours in order: a top-k, so only they are ranked."""
-    top = pixels(spark, d).groupBy((F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("packed")).agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "packed").limit(32)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "packed")).cast("long"))
+    """All colours, the commonest first, lower packed values on ties."""
+    n = pixels(spark, d).groupBy((F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("packed")).agg(F.count("*").alias("weight"))
+    return ranked(n, F.desc("weight"), F.col("packed"))
+
+
+@query("f_linear_srgb", f"WITH {O.PIXEL} SELECT pixel_id, round(CASE WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * pow(v, 1 / 2.4) - 0.055 END, 6) AS encoded FROM (SELECT pixel_id, r / 255.0 * 0.5 AS v FROM pixel)")
+def f_linear_srgb(spark, d):
+    return pixels(spark, d).select("pixel_id", r6(C.from_linear(C.unit("r") * 0.5), "encoded"))
+
+
+@query("f_oklch_to_oklab_image", f"{CTE} SELECT pixel_id, round(l, 6) AS l, round(c * cos(radians(h)), 6) AS ok_a, round(c * sin(radians(h)), 6) AS ok_b FROM lab")
+def f_oklch_to_oklab_image(spark, d):
+    """A stored plane of lightness, chroma and hue (degrees) back to OKLab."""
+    stored = lch(spark, d).select("pixel_id", "l", "c", "h")
+    return stored.select("pixel_id", r6(F.col("l"), "l"), *(r6(v, n) for v, n in zip(C.polar_to_lab(F.col("c"), F.col("h")), ("ok_a", "ok_b"), strict=True)))
+
+
+_D50 = (0.3457 / 0.3585, 1.0, (1.0 - 0.3457 - 0.3585) / 0.3585)
+
+
+@query("f_lab", "WITH s AS (SELECT p_partkey, p_size * 2.0 AS cl, p_size - 25.0 AS ca, p_size % 7 * 9.0 - 30 AS cb FROM part), f AS (SELECT *, (cl + 16) / 116 AS fy FROM s), g AS (SELECT *, fy + ca / 500 AS fx, fy - cb / 200 AS fz FROM f), x AS (SELECT p_partkey, " + ", ".join(f"{w!r} * CASE WHEN pow({v}, 3) > 216 / 24389.0 THEN pow({v}, 3) ELSE (116 * {v} - 16) / (24389 / 27.0) END AS {n}" for v, w, n in (("fx", _D50[0], "px"), ("fy", 1.0, "py"), ("fz", _D50[2], "pz"))) + " FROM g), l AS (SELECT p_partkey, " + ", ".join(f"least(1, greatest(0, CASE WHEN {e} <= 0.0031308 THEN {e} * 12.92 ELSE 1.055 * pow({e}, 1 / 2.4) - 0.055 END)) AS {n}" for e, n in zip(("(" + " + ".join(f"({k!r}) * {v}" for k, v in zip(row, ("px", "py", "pz"))) + ")" for row in C.FROM_XYZ_D50), ("red", "green", "blue"))) + " FROM x) SELECT p_partkey, round(red, 5) AS red, round(green, 5) AS green, round(blue, 5) AS blue FROM l")
+def f_lab(spark, d):
+    """CSS Lab colours (D50) as sRGB."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rgb = C.lab_to_srgb(F.col("p_size") * 2.0, F.col("p_size") - 25.0, F.col("p_size") % 7 * 9.0 - 30)
+    return part.select("p_partkey", *(F.round(v, 5).alias(n) for v, n in zip(rgb, ("red", "green", "blue"), strict=True)))
 
 
 _HSL = "CASE WHEN s = 0 THEN 0 WHEN t = r / 255.0 THEN CASE WHEN g >= b THEN 60 * ((g - b) / 255.0 / s) ELSE 60 * ((g - b) / 255.0 / s + 6) END WHEN t = g / 255.0 THEN 60 * ((b - r) / 255.0 / s + 2) ELSE 60 * ((r - g) / 255.0 / s + 4) END"

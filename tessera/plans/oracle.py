@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 PIXEL = """pixel AS (
-  SELECT pixel_id, x, y, zone, noise,
+  SELECT image_id, pixel_id, x, y, zone, noise,
     least(255, greatest(0, CASE zone WHEN 0 THEN 200 WHEN 1 THEN 40 WHEN 2 THEN 120 ELSE 240 END + 2*noise - 8)) AS r,
     least(255, greatest(0, CASE zone WHEN 0 THEN 40 WHEN 1 THEN 60 WHEN 2 THEN 180 ELSE 235 END + 2*noise - 8)) AS g,
     least(255, greatest(0, CASE zone WHEN 0 THEN 40 WHEN 1 THEN 200 WHEN 2 THEN 90 ELSE 225 END + 2*noise - 8)) AS b,
     CAST(CASE WHEN noise = 8 AND zone = 3 THEN CASE WHEN x % 2 = 0 THEN 0 ELSE 128 END ELSE 255 END AS BIGINT) AS a
-  FROM (SELECT event_id AS pixel_id, event_id % 100 AS x, event_id // 100 AS y,
-    (((event_id % 100) // 12) * 3 + ((event_id // 100) // 9) * 5) % 4 AS zone,
-    ((event_id % 100) * 7 + (event_id // 100) * 13 + user_id) % 9 AS noise FROM events))"""
+  FROM (SELECT *, ((x // 12) * 3 + (y // 9) * 5 + image_id) % 4 AS zone, (x * 7 + y * 13 + user_id) % 9 AS noise
+    FROM (SELECT event_id // 4000 AS image_id, event_id AS pixel_id, event_id % 100 AS x, event_id // 100 % 40 AS y, user_id FROM events)))"""
 
-FRAME = "frame AS (SELECT 100 AS w, max(y) + 1 AS high FROM pixel)"
+FRAME = "frame AS (SELECT image_id, 100 AS w, max(y) + 1 AS high FROM pixel GROUP BY image_id)"
 
 
 def linear(v: str) -> str:
@@ -71,12 +70,12 @@ owned AS (SELECT *, CASE {by_winner} WHEN a / 255.0 >= 0.05 THEN CASE {by_near}
 
 
 def reachable(mask: str) -> str:
-    """comp(x, y, component) of a CTE mask(x, y): transitive closure over 4-neighbours."""
-    return f"""walk(x, y, sx, sy) AS (
-  SELECT x, y, x, y FROM {mask}
+    """comp(image_id, x, y, component) of a CTE mask(image_id, x, y): transitive closure over 4-neighbours."""
+    return f"""walk(image_id, x, y, sx, sy) AS (
+  SELECT image_id, x, y, x, y FROM {mask}
   UNION
-  SELECT m.x, m.y, walk.sx, walk.sy FROM walk JOIN {mask} m ON abs(m.x - walk.x) + abs(m.y - walk.y) = 1 AND m.x BETWEEN walk.x - 1 AND walk.x + 1 AND m.y BETWEEN walk.y - 1 AND walk.y + 1),
-comp AS (SELECT x, y, min(sy * 100 + sx) AS component FROM walk GROUP BY x, y)"""
+  SELECT m.image_id, m.x, m.y, walk.sx, walk.sy FROM walk JOIN {mask} m ON m.image_id = walk.image_id AND abs(m.x - walk.x) + abs(m.y - walk.y) = 1 AND m.x BETWEEN walk.x - 1 AND walk.x + 1 AND m.y BETWEEN walk.y - 1 AND walk.y + 1),
+comp AS (SELECT image_id, x, y, min(sy * 100 + sx) AS component FROM walk GROUP BY image_id, x, y)"""
 
 
 def disc_values(radius: float) -> str:

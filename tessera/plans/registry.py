@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessera.plans import colour_queries, engine_queries, mask_queries, text_queries  # noqa: F401
+    from tessera.plans import colour_queries, document_queries, engine_queries, mask_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

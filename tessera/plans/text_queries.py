@@ -9,6 +9,7 @@ from tessera.functions import color as C
 from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.operators import matching as M
+from tessera.operators.masks import frames
 from tessera.plans import oracle as O
 from tessera.plans.colour_queries import PALETTE
 from tessera.plans.registry import query
@@ -75,17 +76,6 @@ def h_count_nodes(spark, d):
     return clean.select("p_partkey", F.regexp_count("t", F.lit("[MLHVCSQTAZmlhvcsqtaz]")).cast("long").alias("nodes"), F.regexp_count("t", F.lit("[Mm]")).cast("long").alias("subpaths"))
 
 
-@query("h_path_valid", "SELECT p_partkey, p_partkey % 3 <> 0 AS valid FROM part")
-def h_path_valid(spark, d):
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("L 1 "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("M 1 "), F.col("p_size").cast("string"), F.lit(" Z")))
-    return table(spark, d, "part").select("p_partkey", T.path_valid(text, F.lit("evenodd")).alias("valid"))
-
-
-@query("f_display_name", "SELECT o_orderkey, left(regexp_replace(regexp_replace(t, '^.*[/\\\\]', ''), '[^A-Za-z0-9._ -]', '_', 'g'), 120) AS name FROM (SELECT o_orderkey, '/tmp/' || o_orderpriority || '\\x' || o_orderstatus || '*?.png' AS t FROM orders)")
-def f_display_name(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", T.display_name(F.concat(F.lit("/tmp/"), "o_orderpriority", F.lit("\\x"), "o_orderstatus", F.lit("*?.png"))).alias("name"))
-
-
 @query("f_css_parse", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '#' || printf('%02X%02X%02X', a, b, c) WHEN 1 THEN '#' || printf('%X%X%X%X%X%X', d, d, e, e, f, f) ELSE '#' || printf('%02X%02X%02X', a, b, c) END AS hex FROM (SELECT p_partkey, p_partkey % 256 AS a, (p_partkey * 7) % 256 AS b, (p_partkey * 13) % 256 AS c, p_partkey % 16 AS d, (p_partkey * 3) % 16 AS e, (p_partkey * 5) % 16 AS f FROM part)")
 def f_css_parse(spark, d):
     k = F.col("p_partkey")
@@ -126,11 +116,11 @@ def f_robust(spark, d):
 
 
 # ----------------------------------------------------------- geometry ----
-_CHAIN = "chain AS (SELECT user_id % 50 AS chain, event_id AS i, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events)"
+_CHAIN = "chain AS (SELECT event_id // 40 AS chain, event_id AS i, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events)"
 
 
 def chain(spark, d):
-    return table(spark, d, "events").select((F.col("user_id") % 50).alias("chain"), F.col("event_id").alias("i"), (F.col("event_id") % 97).cast("double").alias("x"), F.col("value").alias("y"))
+    return table(spark, d, "events").select(F.expr("event_id div 40").alias("chain"), F.col("event_id").alias("i"), (F.col("event_id") % 97).cast("double").alias("x"), F.col("value").alias("y"))
 
 
 def along():
@@ -156,18 +146,6 @@ def win_signed_area(spark, d):
     return chain(spark, d).select("chain", cross.alias("c")).groupBy("chain").agg(F.round(F.sum("c") / 2, 2).alias("area"))
 
 
-@query("agg_percentile95", f"WITH {_CHAIN}, r AS (SELECT chain, y, row_number() OVER (PARTITION BY chain ORDER BY y) AS k, count(*) OVER (PARTITION BY chain) AS n FROM chain) SELECT chain, y AS p95 FROM r WHERE k = CAST(ceil(0.95 * n) AS BIGINT)")
-def agg_percentile95(spark, d):
-    """Nearest rank, not interpolated."""
-    return chain(spark, d).groupBy("chain").agg(G.nearest_rank(F.sort_array(F.collect_list("y")), 0.95).alias("p95"))
-
-
-@query("g_circle", f"WITH {_CHAIN}, m AS (SELECT chain, avg(x) AS mx, avg(y) AS my FROM chain GROUP BY chain), c AS (SELECT chain, x - mx AS u, y - my AS v FROM chain JOIN m USING (chain)), s AS (SELECT chain, count(*) AS n, sum(u*u) AS uu, sum(u*v) AS uv, sum(v*v) AS vv, sum(u*u*u + u*v*v) AS ru, sum(v*v*v + v*u*u) AS rv FROM c GROUP BY chain), t AS (SELECT *, uu * vv - uv * uv AS det FROM s WHERE n >= 17) SELECT chain, round(mx + (ru * vv - rv * uv) / (2 * det), 4) AS cx, round(my + (rv * uu - ru * uv) / (2 * det), 4) AS cy, round(sqrt(pow((ru * vv - rv * uv) / (2 * det), 2) + pow((rv * uu - ru * uv) / (2 * det), 2) + (uu + vv) / n), 4) AS radius FROM t JOIN m USING (chain)")
-def g_circle(spark, d):
-    """Algebraic circle fit of each chain of at least 17 samples, from centred sums."""
-    return G.fit_circles(chain(spark, d), "chain").select("chain", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round("radius", 4).alias("radius"))
-
-
 @query("f_cubic", "SELECT event_id, round(pow(1 - t, 3) * 0 + 3 * pow(1 - t, 2) * t * 1 + 3 * (1 - t) * t * t * 4 + pow(t, 3) * 3, 6) AS x, round(3 * pow(1 - t, 2) * t * 2 + 3 * (1 - t) * t * t * -1 + pow(t, 3) * 5, 6) AS y, round(3 * pow(1 - t, 2) * 1 + 6 * (1 - t) * t * 3 + 3 * t * t * -1, 6) AS dx FROM (SELECT event_id, (event_id % 1000) / 1000.0 AS t FROM events)")
 def f_cubic(spark, d):
     t = (F.col("event_id") % 1000) / 1000.0
@@ -189,21 +167,9 @@ def f_segments_intersect(spark, d):
 _SCANS = [e.id for e in PALETTE]
 
 
-def layers_text(spark, d):
-    """One SVG path text for each palette entry: a unit square for every pixel it owns in the first rows."""
-    owned = M.ownership(pixels(spark, d), PALETTE).where("owner IS NOT NULL AND y < 4")
-    part = F.format_string("M %d %d h 1 v 1 h -1 Z", "x", "y")
-    return owned.groupBy("owner").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pixel_id", part.alias("p")))), lambda s: s["p"])).alias("path"))
-
-
 _CTE = f"WITH {O.PIXEL},\n{O.lab()},\n{O.owner_ctes(PALETTE)}"
 
 
-@query("snk_svg_app", f"{_CTE} SELECT owner, '<g id=\"scan-' || owner || '\"><path fill-rule=\"evenodd\" d=\"' || string_agg('M ' || x || ' ' || y || ' h 1 v 1 h -1 Z', ' ' ORDER BY pixel_id) || '\"/></g>' AS svg FROM owned WHERE owner IS NOT NULL AND y < 4 GROUP BY owner")
-def snk_svg_app(spark, d):
-    return layers_text(spark, d).select("owner", F.concat(F.lit('<g id="scan-'), "owner", F.lit('"><path fill-rule="evenodd" d="'), "path", F.lit('"/></g>')).alias("svg"))
-
-
 @query("snk_report", f"{_CTE} SELECT owner, '{{\"owner\":\"' || owner || '\",\"pixels\":' || count(*) || ',\"rows\":' || count(DISTINCT y) || '}}' AS report FROM owned WHERE owner IS NOT NULL GROUP BY owner")
 def snk_report(spark, d):
     stats = M.ownership(pixels(spark, d), PALETTE).where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("pixels"), F.count_distinct("y").alias("rows"))
@@ -219,13 +185,6 @@ def srt_layer_order(spark, d):
 
 
 # ------------------------------------------------------- settings, JSON ----
-@query("src_settings", "SELECT event_id, coalesce(CASE WHEN json_valid(props) THEN CAST(json_extract_string(props, '$.schemaVersion') AS INTEGER) END, 1) AS version FROM events")
-def src_settings(spark, d):
-    """What isn't there or can't be read falls back to the default; nothing fails."""
-    read = F.from_json("props", "schemaVersion INT", {"mode": "PERMISSIVE"})
-    return table(spark, d, "events").select("event_id", F.coalesce(read["schemaVersion"], F.lit(1)).alias("version"))
-
-
 @query("d_merge_profiles", "SELECT p_partkey, k AS field, round(CASE WHEN k = 'b' AND p_size % 2 = 0 THEN p_size ELSE v END, 6) AS value FROM part, (VALUES ('a', 1.0), ('b', 2.0), ('c', 3.0)) AS t(k, v)")
 def d_merge_profiles(spark, d):
     base = F.create_map([F.lit(x) for x in ("a", 1.0, "b", 2.0, "c", 3.0)])
@@ -233,31 +192,6 @@ def d_merge_profiles(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(T.merge_maps(base, over)).alias("field", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("d_unsupported", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'corner,smoothing' ELSE 'smoothing' END AS missing FROM part")
-def d_unsupported(spark, d):
-    asked = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("smoothing"), F.lit("corner"), F.lit("turd"))).otherwise(F.array(F.lit("turd"), F.lit("smoothing")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_except(asked, F.array(F.lit("turd")))), ",").alias("missing"))
-
-
-@query("d_source_changed", "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR)) <> sha256(CAST(o_custkey - o_custkey % 2 AS VARCHAR)) AS changed FROM orders")
-def d_source_changed(spark, d):
-    mark = lambda c: F.sha2(c.cast("string"), 256)
-    return table(spark, d, "orders").select("o_orderkey", (mark(F.col("o_custkey")) != mark(F.col("o_custkey") - F.col("o_custkey") % 2)).alias("changed"))
-
-
-@query("src_presets", "SELECT o_orderkey AS preset, o_orderdate AS updated FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
-@query("srt_presets", "SELECT o_orderkey AS preset, o_orderdate AS updated FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
-def src_presets(spark, d):
-    """The fifty presets changed last, unreadable ones left out."""
-    return table(spark, d, "orders").where("o_orderkey % 7 <> 0").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select(F.col("o_orderkey").alias("preset"), F.col("o_orderdate").alias("updated"))
-
-
-@query("src_upload", "SELECT k, kind FROM (VALUES (1, 'image/png'), (2, 'image/jpeg'), (3, 'image/gif'), (4, 'image/webp'), (5, NULL)) AS t(k, kind)")
-def src_upload(spark, d):
-    heads = [(1, b"\x89PNG\r\n\x1a\n00"), (2, b"\xff\xd8\xff\xe000"), (3, b"GIF89a00"), (4, b"RIFF0000WEBP"), (5, b"hello")]
-    return spark.createDataFrame([(k, bytearray(h)) for k, h in heads], "k int, content binary").select("k", sniff(F.col("content")).alias("kind"))
-
-
 @query("h_canonical_pair", "SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem")
 def h_canonical_pair(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.least("l_partkey", "l_suppkey").alias("low"), F.greatest("l_partkey", "l_suppkey").alias("high"))
@@ -269,11 +203,6 @@ def h_remap(spark, d):
     return pixels(spark, d).join(F.broadcast(lookup), "zone", "left").select("pixel_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
-@query("h_svg_shallow_check", "SELECT page_id, starts_with(html, '<svg') AND ends_with(html, '</svg>') AS ok FROM pages")
-def h_svg_shallow_check(spark, d):
-    return table(spark, d, "pages").select("page_id", T.svg_ok(F.col("html")).alias("ok"))
-
-
 # ------------------------------------------------------- small helpers ----
 @query("prj_paint", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '#112233' WHEN p_size % 3 = 1 THEN '#445566' ELSE '#000000' END AS paint FROM part")
 def prj_paint(spark, d):
@@ -290,12 +219,230 @@ def flt_mode_whitelist(spark, d):
     return orders.join(F.broadcast(known), F.col("o_orderstatus") == F.col("mode"), "left").select("o_orderkey", F.coalesce("mode", F.lit("F")).alias("mode"))
 
 
-@query("lim_scan_count", "SELECT p_partkey, least(64, greatest(1, p_size - 3)) AS scans FROM part")
-def lim_scan_count(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.least(F.greatest(F.col("p_size") - 3, F.lit(1)), F.lit(64)).alias("scans"))
-
-
 @query("f_geom_prims", "SELECT event_id, round(sqrt(pow(x - 3, 2) + pow(y - 4, 2)), 6) AS distance, round(x + (3 - x) * 0.25, 6) AS lerp, round(x * 4 - y * 3, 6) AS cross_product, round(x * 3 + y * 4, 6) AS dot_product FROM (SELECT event_id, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events)")
 def f_geom_prims(spark, d):
     x, y = (F.col("event_id") % 97).cast("double"), F.col("value")
     return table(spark, d, "events").select("event_id", F.round(G.distance(x, y, F.lit(3.0), F.lit(4.0)), 6).alias("distance"), F.round(x + (F.lit(3.0) - x) * 0.25, 6).alias("lerp"), F.round(x * 4 - y * 3, 6).alias("cross_product"), F.round(x * 3 + y * 4, 6).alias("dot_product"))
+
+
+@query("agg_percentile95", f"WITH {_CHAIN}, r AS (SELECT chain, y, row_number() OVER (PARTITION BY chain ORDER BY y) AS k, count(*) OVER (PARTITION BY chain) AS n FROM chain) SELECT chain, y AS p95 FROM r WHERE k = CAST(ceil(0.95 * n) AS BIGINT)")
+def agg_percentile95(spark, d):
+    """Nearest rank, not interpolated; ranks come from a window, so no chain is gathered into a row."""
+    ordered = Window.partitionBy("chain").orderBy("y")
+    r = chain(spark, d).select("chain", "y", F.row_number().over(ordered).alias("k"), F.count("*").over(Window.partitionBy("chain")).alias("n"))
+    return r.where(F.col("k") == F.ceil(F.col("n") * 0.95)).select("chain", F.col("y").alias("p95"))
+
+
+#: Loops by part: whole circles, half ones, and ones that wobble a little or too much; every fifth has too few samples.
+_SAMPLES = "CASE WHEN p_partkey % 5 = 0 THEN 14 ELSE 24 END AS m"
+_POLAR = ("2 * pi() * (i % m) / m * CASE WHEN p_partkey % 4 = 1 THEN 0.5 ELSE 1 END AS t", "5 + p_partkey % 7 + CASE p_partkey % 4 WHEN 2 THEN 0.1 WHEN 3 THEN 0.9 ELSE 0 END * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS r")
+_PLANE = ("p_partkey AS loop", "i", "p_size + r * cos(t) AS x", "10 + r * sin(t) AS y")
+_GATES = """mean AS (SELECT loop, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM body GROUP BY loop HAVING count(*) + 1 >= 17),
+c AS (SELECT body.*, mx, my, n, x - mx AS u, y - my AS v FROM body JOIN mean USING (loop)),
+s AS (SELECT loop, mx, my, n, sum(u*u) AS uu, sum(u*v) AS uv, sum(v*v) AS vv, sum(u*(u*u+v*v)) AS uz, sum(v*(u*u+v*v)) AS vz FROM c GROUP BY ALL),
+f AS (SELECT loop, n, mx + 0.5 * (uz * vv - vz * uv) / (uu * vv - uv * uv) AS cx, my + 0.5 * (vz * uu - uz * uv) / (uu * vv - uv * uv) AS cy FROM s WHERE (uu * vv - uv * uv) / pow(uu + vv, 2) >= 1e-3),
+a AS (SELECT body.*, cx, cy, n, atan2((x - cx) * (y1 - cy) - (y - cy) * (x1 - cx), (x - cx) * (x1 - cx) + (y - cy) * (y1 - cy)) / (2 * pi()) AS turn, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS far FROM body JOIN f USING (loop)),
+g AS (SELECT loop, cx, cy, n, avg(far) AS radius FROM a GROUP BY ALL HAVING abs(sum(turn)) >= 0.95 AND sum(abs(turn)) <= 1.1 AND max(abs(turn)) <= 0.1),
+w AS (SELECT loop, g.cx, g.cy, g.n, radius, abs(far - radius) AS wrong, row_number() OVER (PARTITION BY loop ORDER BY abs(far - radius)) - 1 AS k FROM a JOIN g USING (loop))
+SELECT loop, round(any_value(cx), 4) AS cx, round(any_value(cy), 4) AS cy, round(any_value(radius), 4) AS radius FROM w GROUP BY loop HAVING max(CASE WHEN k = floor((n - 1) * 95 / 100.0) THEN wrong END) <= 0.225 AND max(CASE WHEN k = floor((n - 1) * 99 / 100.0) THEN wrong END) <= 0.45 AND max(wrong) <= 0.675"""
+
+
+@query("g_circle", f"WITH m AS (SELECT p_partkey, p_size, {_SAMPLES} FROM part), i AS (SELECT *, unnest(range(m + 1)) AS i FROM m), p AS (SELECT *, {', '.join(_POLAR)} FROM i), loops AS (SELECT {', '.join(_PLANE)} FROM p), body AS (SELECT * FROM (SELECT *, lead(x) OVER (PARTITION BY loop ORDER BY i) AS x1, lead(y) OVER (PARTITION BY loop ORDER BY i) AS y1 FROM loops) WHERE x1 IS NOT NULL), " + _GATES)
+def g_circle(spark, d):
+    """Closed loops that are whole circles within 0.45 of a pixel; the others are refused."""
+    samples = table(spark, d, "part").selectExpr("p_partkey", "p_size", _SAMPLES).selectExpr("*", "explode(sequence(0, m)) AS i")
+    loops = samples.selectExpr("*", *_POLAR).selectExpr(*_PLANE)
+    return G.fit_circles(loops, "loop", 0.45).select("loop", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round("radius", 4).alias("radius"))
+
+
+@query("h_path_valid", "SELECT p_partkey, p_size % 6 IN (0, 1) AS valid FROM part")
+def h_path_valid(spark, d):
+    """Paths that are whole, relative, blank, without a command, with a number that is not finite, and with a fill rule that is none."""
+    n = F.col("p_size").cast("string")
+    kinds = [F.concat(F.lit("M 1 "), n, F.lit(" Z")), F.concat(F.lit("m 1 "), n, F.lit(" l 2 3")), F.lit("  "), F.concat(F.lit("1 2 "), n), F.concat(F.lit("M 1 "), n, F.lit("e999 Z")), F.lit("M 0 0 Z")]
+    text = F.element_at(F.array(*kinds), (F.col("p_size") % 6 + 1).cast("int"))
+    rule = F.when(F.col("p_size") % 6 == 5, "winding").otherwise(F.when(F.col("p_partkey") % 2 == 0, "evenodd").otherwise("nonzero"))
+    return table(spark, d, "part").select("p_partkey", T.path_valid(text, rule).alias("valid"))
+
+
+@query("f_display_name", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN left('x' || o_orderpriority || 'é.png', 120) WHEN 1 THEN o_orderstatus || ' b.png' WHEN 2 THEN 'image' ELSE repeat('n', 120) END AS name FROM orders")
+def f_display_name(spark, d):
+    """Names with folders of both kinds, refused and control characters, spaces at the ends, nothing left, and too many characters."""
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("/tmp/a\\x"), "o_orderpriority", F.lit("é*?.png"))).when(k == 1, F.concat(F.lit("c:\\ "), "o_orderstatus", F.lit(" \u0007b.png  "))).when(k == 2, F.lit("dir/<>|")).otherwise(F.repeat(F.lit("n"), 130))
+    return table(spark, d, "orders").select("o_orderkey", T.display_name(text).alias("name"))
+
+
+@query("h_svg_shallow_check", "SELECT page_id, page_id % 6 IN (0, 1) AS ok FROM pages")
+def h_svg_shallow_check(spark, d):
+    """Pages' text between <svg> tags, trimmed or not, and with each of the faults; pages as they are never pass."""
+    plain = F.regexp_replace(F.regexp_replace("html", "[<>]", ""), "(NaN|Infinity)", "")
+    kinds = [F.concat(F.lit("<svg>"), plain, F.lit("</svg>")), F.concat(F.lit(" \n<svg>"), plain, F.lit("</svg>\n")), F.concat(F.lit("<svg>"), plain, F.lit("<</svg>")), F.concat(F.lit("<svg>-Infinity"), plain, F.lit("</svg>")), F.concat(F.lit("<svg><script>"), plain, F.lit("</svg>")), F.col("html")]
+    return table(spark, d, "pages").select("page_id", T.svg_ok(F.element_at(F.array(*kinds), (F.col("page_id") % 6 + 1).cast("int"))).alias("ok"))
+
+
+# ------------------------------------------------------------------ SVG ----
+def scan_paths(spark, d):
+    """(image_id, owner, path): for each scan one path of all it owns, a rectangle for each horizontal run, in raster order."""
+    owned = M.ownership(pixels(spark, d), PALETTE).where("owner IS NOT NULL")
+    row = Window.partitionBy("image_id", "owner", "y").orderBy("x")
+    runs = owned.withColumn("g", F.col("x") - F.row_number().over(row)).groupBy("image_id", "owner", "y", "g").agg(F.min("x").alias("x0"), F.count("*").alias("n"))
+    part = F.format_string("M %d %d h %d v 1 h -%d Z", "x0", "y", "n", "n")
+    # an image's size is limited, so a scan of one image is a bounded group
+    return runs.groupBy("image_id", "owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x0", part.alias("p")))), lambda v: v["p"]).alias("subpaths"))
+
+
+_RUNS = f"{_CTE}, marked AS (SELECT image_id, owner, y, x, x - row_number() OVER (PARTITION BY image_id, owner, y ORDER BY x) AS g FROM owned WHERE owner IS NOT NULL), runs AS (SELECT image_id, owner, y, min(x) AS x0, count(*) AS n FROM marked GROUP BY image_id, owner, y, g)"
+_PART = "'M ' || x0 || ' ' || y || ' h ' || n || ' v 1 h -' || n || ' Z'"
+_PAINT = {e.id: e.hex for e in PALETTE}
+_PLACE = {e.id: k for k, e in enumerate(PALETTE)}
+
+
+def by_owner(values):
+    out = F.when(F.lit(False), F.lit(next(iter(values.values()))))
+    for k, v in values.items():
+        out = out.when(F.col("owner") == k, v)
+    return out
+
+
+_PAINT_SQL = "CASE owner " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PAINT.items()) + " END"
+_LABEL_SQL = "CASE owner " + " ".join(f"WHEN '{k}' THEN '{v + 1:02d}'" for k, v in _PLACE.items()) + " END"
+
+
+@query("snk_svg_app", f"{_RUNS}, paths AS (SELECT image_id, owner, string_agg({_PART}, ' ' ORDER BY y, x0) AS path FROM runs GROUP BY ALL), shown AS (SELECT image_id, owner, {_PAINT_SQL} AS paint, {_LABEL_SQL} AS place, path FROM paths) SELECT image_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"100\" height=\"' || any_value(high) || '\" viewBox=\"0 0 100 ' || any_value(high) || '\"><g id=\"result-' || image_id || '\" pt:generated=\"true\" pt:source-image-uuid=\"' || image_id || '\" pt:schema-version=\"1\">' || string_agg('<g inkscape:label=\"' || place || ' ' || owner || ' — ' || paint || '\" pt:palette-entry-id=\"' || owner || '\" pt:role=\"primary_fill\"><path d=\"' || path || '\" style=\"fill:' || paint || ';fill-rule:evenodd;stroke:none\"/></g>', '' ORDER BY place) || '</g></svg>' AS svg FROM shown JOIN (SELECT image_id, max(y) + 1 AS high FROM pixel GROUP BY image_id) USING (image_id) GROUP BY image_id")
+def snk_svg_app(spark, d):
+    """The whole document of each image: a layer for each scan with one path, so that holes subtract, and where it came from."""
+    attr = lambda n, v: F.concat(F.lit(f' {n}="'), T.escape_xml(v.cast("string")), F.lit('"'))
+    paint, place = by_owner(_PAINT), by_owner({k: f"{v + 1:02d}" for k, v in _PLACE.items()})
+    layer = F.concat(F.lit("<g"), attr("inkscape:label", F.concat(place, F.lit(" "), "owner", F.lit(" — "), paint)), attr("pt:palette-entry-id", F.col("owner")), attr("pt:role", F.lit("primary_fill")), F.lit("><path"), attr("d", F.array_join("subpaths", " ")), attr("style", F.concat(F.lit("fill:"), paint, F.lit(";fill-rule:evenodd;stroke:none"))), F.lit("/></g>"))
+    layers = scan_paths(spark, d).groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("k"), layer.alias("g")))), lambda v: v["g"]), "").alias("layers"))
+    size = frames(pixels(spark, d))
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"'), attr("width", F.col("width")), attr("height", F.col("height")), attr("viewBox", F.concat(F.lit("0 0 "), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"))), F.lit("><g"), attr("id", F.concat(F.lit("result-"), F.col("image_id").cast("string"))), attr("pt:generated", F.lit("true")), attr("pt:source-image-uuid", F.col("image_id")), attr("pt:schema-version", F.lit(1)), F.lit(">"))
+    return layers.join(size, "image_id").select("image_id", F.concat(head, "layers", F.lit("</g></svg>")).alias("svg"))
+
+
+@query("snk_svg_inkscape", f"{_RUNS} SELECT image_id, owner, row_number() OVER (PARTITION BY image_id, owner ORDER BY y, x0) AS place, '<path d=\"' || {_PART} || '\" style=\"fill:' || {_PAINT_SQL} || ';fill-rule:evenodd;stroke:none\"/>' AS element FROM runs")
+def snk_svg_inkscape(spark, d):
+    """The elements put into an open document: one for each subpath, in order."""
+    one = scan_paths(spark, d).select("image_id", "owner", F.posexplode("subpaths").alias("k", "p"))
+    return one.select("image_id", "owner", (F.col("k") + 1).cast("long").alias("place"), F.concat(F.lit('<path d="'), "p", F.lit('" style="fill:'), by_owner(_PAINT), F.lit(';fill-rule:evenodd;stroke:none"/>')).alias("element"))
+
+
+@query("agg_segments", f"{_RUNS} SELECT image_id, owner, CAST(count(*) * 3 AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS subpaths, CAST(count(*) * 4 AS BIGINT) AS points FROM runs GROUP BY ALL")
+def agg_segments(spark, d):
+    """Line segments, subpaths and points of each scan's path, counted in its commands."""
+    each = scan_paths(spark, d).select("image_id", "owner", F.explode("subpaths").alias("p"))
+    many = lambda letters: F.sum(F.regexp_count("p", F.lit(f"[{letters}]"))).cast("long")
+    return each.groupBy("image_id", "owner").agg(many("hvHV").alias("lines"), many("Mm").alias("subpaths"), many("MmhvHV").alias("points"))
+
+
+# ------------------------------------------------------------- uploads ----
+# What is accepted, the largest upload, and the most pixels that are worked on.
+ACCEPTED = ("image/png", "image/jpeg", "image/gif", "image/bmp", "image/tiff", "image/webp", "image/x-portable-pixmap", "image/x-portable-graymap")
+MOST_BYTES, MOST_PIXELS = 32 * 1024 * 1024, 4_000_000
+_HEADS = ((b"\x89PNG\r\n\x1a\n00", "image/png"), (b"\xff\xd8\xff\xe000", "image/jpeg"), (b"GIF89a00", "image/gif"), (b"RIFF0000WEBP", "image/webp"), (b"hello", None), (b"P5 1 1 25", "image/x-portable-graymap"))
+_SNIFFED = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(_HEADS) if v) + " END"
+_DECLARED = "CASE p_size % 3 WHEN 0 THEN 'image/bmp' WHEN 1 THEN 'text/html' ELSE '' END"
+
+
+@query("src_upload", f"WITH u AS (SELECT p_partkey, coalesce({_SNIFFED}, {_DECLARED}) AS kind, p_size * 1000000 AS n_bytes, p_size * 100 AS w, p_partkey % 1000 * 9 + 1 AS h FROM part), s AS (SELECT *, sqrt(4000000.0 / (w * h)) AS k FROM u) SELECT p_partkey, CASE WHEN kind NOT IN {ACCEPTED} THEN 'refused: kind' WHEN n_bytes > 33554432 THEN 'refused: size' ELSE kind END AS verdict, CAST(CASE WHEN w * h > 4000000 THEN greatest(1, floor(w * k)) ELSE w END AS BIGINT) AS width, CAST(CASE WHEN w * h > 4000000 THEN greatest(1, floor(h * k)) ELSE h END AS BIGINT) AS height FROM s")
+def src_upload(spark, d):
+    """What an upload is (its first bytes beat what it was declared as), whether it is taken, and the size it is worked on at."""
+    head = F.element_at(F.array(*[F.lit(h) for h, _ in _HEADS]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    declared = F.when(F.col("p_size") % 3 == 0, " Image/BMP; q=1").when(F.col("p_size") % 3 == 1, "text/html").otherwise("")
+    up = table(spark, d, "part").select("p_partkey", F.coalesce(sniff(head), T.mime_type(declared)).alias("kind"), (F.col("p_size").cast("long") * 1_000_000).alias("n_bytes"), (F.col("p_size").cast("long") * 100).alias("w"), (F.col("p_partkey") % 1000 * 9 + 1).alias("h"))
+    verdict = F.when(~F.col("kind").isin(*ACCEPTED), "refused: kind").when(F.col("n_bytes") > MOST_BYTES, "refused: size").otherwise(F.col("kind"))
+    width, height = T.working_size(F.col("w"), F.col("h"), MOST_PIXELS)
+    return up.select("p_partkey", verdict.alias("verdict"), width.alias("width"), height.alias("height"))
+
+
+@query("prj_effective_scale", "WITH s AS (SELECT p_partkey, p_size * 100 AS w, p_partkey % 1000 * 9 + 1 AS h FROM part), t AS (SELECT *, sqrt(1000000.0 / (w * h)) AS k FROM s) SELECT p_partkey, round(CASE WHEN w * h > 1000000 THEN sqrt(greatest(1, floor(w * k)) * greatest(1, floor(h * k)) / (w * h)) ELSE 1 END, 6) AS scale FROM t")
+def prj_effective_scale(spark, d):
+    """The factor that a preview really has, once its size is whole pixels."""
+    w, h = F.col("p_size").cast("long") * 100, F.col("p_partkey") % 1000 * 9 + 1
+    width, height = T.working_size(w, h, T.PREVIEW_PIXELS)
+    return table(spark, d, "part").select("p_partkey", F.round(F.sqrt(width * height / (w * h)), 6).alias("scale"))
+
+
+_SHOWN = "regexp_replace(regexp_replace(printf('%.3f', CAST({0} AS DOUBLE)), '0+$', ''), '\\.$', '')"
+
+
+@query("f_scale_path", "SELECT p_partkey, 'M ' || " + _SHOWN.format("p_size * 0.375") + " || ' ' || " + _SHOWN.format("-p_partkey * 0.375") + " || ' A ' || " + _SHOWN.format("2.5 * 0.375") + " || ' ' || " + _SHOWN.format("p_size * 0.375") + " || ' 30 0 1 ' || " + _SHOWN.format("p_size * 0.375") + " || ' 0 Z' AS path FROM part")
+def f_scale_path(spark, d):
+    size = F.col("p_size").cast("string")
+    path = F.concat(F.lit("M"), size, F.lit(",-"), F.col("p_partkey").cast("string"), F.lit(" A 2.5 "), size, F.lit(" 30 0 1 "), size, F.lit(" 0 Z"))
+    return table(spark, d, "part").select("p_partkey", T.scale_path(path, F.lit(0.375)).alias("path"))
+
+
+@query("f_parse_hex", "WITH h AS (SELECT p_partkey, printf('%X', p_partkey % 16) AS a, printf('%02X', p_partkey % 256) AS b FROM part) SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '#' || a || a || '0077FF' WHEN 1 THEN '#' || a || a || '007788' WHEN 2 THEN '#' || b || '1234FF' WHEN 3 THEN '#' || b || '123456' END AS hex FROM h")
+def f_parse_hex(spark, d):
+    """Colours of three, four, six, eight and five digits, the last refused."""
+    one, two = F.lower(F.hex(F.col("p_partkey") % 16)), F.lpad(F.hex(F.col("p_partkey") % 256), 2, "0")
+    kinds = [F.concat(F.lit("#"), one, F.lit("07")), F.concat(F.lit("#"), one, F.lit("078")), F.concat(F.lit("#"), two, F.lit("1234")), F.concat(F.lit("#"), two, F.lit("123456")), F.concat(F.lit("#"), two, F.lit("123"))]
+    return table(spark, d, "part").select("p_partkey", T.parse_hex(F.element_at(F.array(*kinds), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("hex"))
+
+
+@query("f_export_name", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pic' || o_custkey WHEN 1 THEN 'a.b' || o_custkey WHEN 2 THEN 'plain' ELSE 'palette-trace' END || '.palette-trace.svg' AS name FROM orders")
+def f_export_name(spark, d):
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("pic"), c, F.lit(".png"))).when(k == 1, F.concat(F.lit("a.b"), c, F.lit(".jpeg"))).when(k == 2, "plain").otherwise(F.when(F.col("o_custkey") % 2 == 0, ".png").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", T.export_name(text).alias("name"))
+
+
+@query("f_island_summary", "SELECT p_partkey, CASE WHEN h + l = 0 THEN '' WHEN h + l = 1 THEN 'One patch of the backdrop colour sits in the foreground — ' || CASE WHEN h = 1 THEN 'it became a hole.' ELSE 'it got a layer of its own.' END ELSE (h + l) || ' patches of the backdrop colour sit in the foreground — ' || CASE WHEN h > 0 AND l > 0 THEN CASE WHEN h = 1 THEN '1 became a hole, ' ELSE h || ' became holes, ' END || CASE WHEN l = 1 THEN '1 got a layer of its own.' ELSE l || ' got layers of their own.' END WHEN h > 0 THEN 'they became holes.' ELSE 'they got layers of their own.' END END AS text FROM (SELECT p_partkey, p_partkey % 3 AS h, p_partkey // 3 % 3 AS l FROM part)")
+def f_island_summary(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.island_summary(F.col("p_partkey") % 3, F.expr("p_partkey div 3 % 3")).alias("text"))
+
+
+_COVER = "CASE WHEN o <= -(a + b) / 2 THEN 0 WHEN o >= (a + b) / 2 THEN 1 WHEN o <= -(a - b) / 2 THEN pow(o + (a + b) / 2, 2) / (2 * a * b) WHEN o >= (a - b) / 2 THEN 1 - pow((a + b) / 2 - o, 2) / (2 * a * b) ELSE 0.5 + o / a END"
+
+
+@query("f_coverage_offset", f"WITH n AS (SELECT event_id, event_id % 13 - 6.0 AS nx, event_id % 7 + 1.0 AS ny, event_id % 41 / 20.0 - 1 AS o FROM events), q AS (SELECT *, greatest(abs(nx), ny) / sqrt(nx * nx + ny * ny) AS a, least(abs(nx), ny) / sqrt(nx * nx + ny * ny) AS b FROM n), c AS (SELECT *, {_COVER} AS cover FROM q) SELECT event_id, round(cover, 6) AS coverage, round(greatest(-(a + b) / 2, least((a + b) / 2, o)), 5) AS back FROM c WHERE b > 0")
+def f_coverage_offset(spark, d):
+    """The share of a unit square on one side of a line at an offset, and the offset that this share stands for."""
+    nx, ny, o = F.col("event_id") % 13 - 6.0, F.col("event_id") % 7 + 1.0, F.col("event_id") % 41 / 20.0 - 1
+    a, b = G.octant(nx, ny)
+    cover = G.coverage_for_offset(o, a, b)
+    return table(spark, d, "events").where("event_id % 13 <> 6").select("event_id", F.round(cover, 6).alias("coverage"), F.round(G.offset_for_coverage(cover, a, b), 5).alias("back"))
+
+
+_CURVE = "SELECT event_id, CAST(event_id % 11 AS DOUBLE) AS x1, value / 10 AS y1, 7.0 - event_id % 5 AS x2, -value / 20 AS y2 FROM events"
+
+
+@query("f_cubic_bound", f"WITH c AS ({_CURVE}), b AS (SELECT event_id, greatest(sqrt(pow(x1 - 3, 2) + pow(y1 - 1, 2)), sqrt(pow(x2 - 6, 2) + pow(y2 - 2, 2))) AS bound FROM c) SELECT event_id, round(bound, 6) AS bound, CAST(CASE WHEN bound <= 0.1 THEN 0 ELSE ceil(log2(bound / 0.1) / 2) END AS BIGINT) AS depth FROM b")
+def f_cubic_bound(spark, d):
+    """How far cubics from (0, 0) to (9, 3) may stray from their chord, and how often to halve them to stay within 0.1."""
+    c = table(spark, d, "events").select("event_id", (F.col("event_id") % 11).cast("double").alias("x1"), (F.col("value") / 10).alias("y1"), (F.lit(7.0) - F.col("event_id") % 5).alias("x2"), (-F.col("value") / 20).alias("y2"))
+    bound = G.chord_bound((F.lit(0.0), F.lit(0.0)), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.lit(9.0), F.lit(3.0)))
+    return c.select("event_id", F.round(bound, 6).alias("bound"), G.flatten_depth(bound, 0.1).cast("long").alias("depth"))
+
+
+@query("f_cubic_flatten", f"WITH c AS ({_CURVE}), s AS (SELECT c.*, unnest(range(9)) AS i FROM c) SELECT event_id, i, round(3 * pow(1 - i / 8.0, 2) * i / 8.0 * x1 + 3 * (1 - i / 8.0) * pow(i / 8.0, 2) * x2 + pow(i / 8.0, 3) * 9 + 1e-7, 6) AS x, round(3 * pow(1 - i / 8.0, 2) * i / 8.0 * y1 + 3 * (1 - i / 8.0) * pow(i / 8.0, 2) * y2 + pow(i / 8.0, 3) * 3 + 1e-7, 6) AS y FROM s")
+def f_cubic_flatten(spark, d):
+    """Every curve at eight equal steps of its parameter; the ends are its own points."""
+    c = table(spark, d, "events").select("event_id", (F.col("event_id") % 11).cast("double").alias("x1"), (F.col("value") / 10).alias("y1"), (F.lit(7.0) - F.col("event_id") % 5).alias("x2"), (-F.col("value") / 20).alias("y2"))
+    points = G.flatten((F.lit(0.0), F.lit(0.0)), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.lit(9.0), F.lit(3.0)), F.lit(3))
+    return c.select("event_id", F.posexplode(points).alias("i", "p")).select("event_id", F.col("i").cast("long").alias("i"), F.round(F.col("p.x") + 1e-7, 6).alias("x"), F.round(F.col("p.y") + 1e-7, 6).alias("y"))
+
+
+@query("f_cubic_turning")
+def f_cubic_turning(spark, d):
+    """Total turning of each curve over sixteen samples of its slope."""
+    c = table(spark, d, "events").select("event_id", (F.col("event_id") % 11).cast("double").alias("x1"), (F.col("value") / 10).alias("y1"), (F.lit(7.0) - F.col("event_id") % 5).alias("x2"), (-F.col("value") / 20).alias("y2"))
+    return c.select("event_id", F.round(G.turning((F.lit(0.0), F.lit(0.0)), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.lit(9.0), F.lit(3.0)), 16), 6).alias("turning"))
+
+
+_LINE = ((0.0, 0.0), (40.0, 30.0), (80.0, 10.0), (96.0, 90.0))
+
+
+def _gap_sql(a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    t = f"least(1, greatest(0, ((x - {a[0]}) * {dx} + (y - {a[1]}) * {dy}) / {dx * dx + dy * dy}))"
+    return f"sqrt(pow(x - ({a[0]} + {t} * {dx}), 2) + pow(y - ({a[1]} + {t} * {dy}), 2))"
+
+
+@query("f_point_polyline", "SELECT event_id, round(least(" + ", ".join(_gap_sql(a, b) for a, b in zip(_LINE, _LINE[1:])) + "), 6) AS distance FROM (SELECT event_id, CAST(event_id % 97 AS DOUBLE) AS x, value AS y FROM events)")
+def f_point_polyline(spark, d):
+    """The distance from a polyline: the least over its segments."""
+    x, y = (F.col("event_id") % 97).cast("double"), F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(F.least(*[G.point_segment(x, y, a, b) for a, b in zip(_LINE, _LINE[1:], strict=False)]), 6).alias("distance"))

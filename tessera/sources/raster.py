@@ -1,6 +1,6 @@
-"""Rasters as relations: pixel(pixel_id, x, y, r, g, b, a), row-major.
+"""Rasters as relations: pixel(image_id, pixel_id, x, y, r, g, b, a), row-major.
 
-`from_events` derives a picture from the events table by integer arithmetic, so
+`from_events` derives pictures from the events table by integer arithmetic, so
 every operator can run on ordinary tables; `read_netpbm` decodes real files.
 """
 
@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH = 100
+#: Size of the derived pictures; the last one may be lower.
+WIDTH, HEIGHT = 100, 40
 #: r, g, b of the four zones of the derived picture.
 BASE = ((200, 40, 40), (40, 60, 200), (120, 180, 90), (240, 235, 225))
 
 
-def from_events(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    at = events.select(F.col("event_id").alias("pixel_id"), (F.col("event_id") % width).alias("x"), F.expr(f"event_id div {width}").alias("y"), "user_id")
-    at = at.withColumns({"zone": F.expr("((x div 12) * 3 + (y div 9) * 5) % 4"), "noise": F.expr("(x * 7 + y * 13 + user_id) % 9")})
+def from_events(events: DataFrame) -> DataFrame:
+    at = events.select(F.expr(f"event_id div {WIDTH * HEIGHT}").alias("image_id"), F.col("event_id").alias("pixel_id"), (F.col("event_id") % WIDTH).alias("x"), F.expr(f"event_id div {WIDTH} % {HEIGHT}").alias("y"), "user_id")
+    at = at.withColumns({"zone": F.expr("((x div 12) * 3 + (y div 9) * 5 + image_id) % 4"), "noise": F.expr("(x * 7 + y * 13 + user_id) % 9")})
 
     def channel(k: int) -> Column:
         base = F.when(F.col("zone") == 0, BASE[0][k]).when(F.col("zone") == 1, BASE[1][k]).when(F.col("zone") == 2, BASE[2][k]).otherwise(BASE[3][k])
@@ -27,7 +28,7 @@ def from_events(events: DataFrame, width: int = WIDTH) -> DataFrame:
 
     clear = (F.col("noise") == 8) & (F.col("zone") == 3)
     alpha = F.when(clear & (F.col("x") % 2 == 0), 0).when(clear, 128).otherwise(255).cast("long")
-    return at.select("pixel_id", "x", "y", "zone", "noise", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"), alpha.alias("a"))
+    return at.select("image_id", "pixel_id", "x", "y", "zone", "noise", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"), alpha.alias("a"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ def read_netpbm(spark: SparkSession, path: str) -> DataFrame:
 def sniff(content: Column) -> Column:
     """MIME type by the first bytes, null if unknown."""
     head = F.hex(F.substring(content, 1, 12))
-    known = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif", "424D": "image/bmp", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "5036": "image/x-portable-pixmap", "5037": "image/x-portable-arbitrarymap"}
+    known = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif", "424D": "image/bmp", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "5036": "image/x-portable-pixmap", "5035": "image/x-portable-graymap", "5037": "image/x-portable-arbitrarymap"}
     out = F.when(F.lit(False), F.lit(""))
     for magic, kind in known.items():
         out = out.when(F.startswith(head, F.lit(magic)), kind)

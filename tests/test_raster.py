@@ -29,13 +29,68 @@ def test_reach_anchors():
     assert Entry("n", "#808080").lch()[1] < 0.02
 
 
+PICTURE = ["XX..X", ".X.XX", "X...X", "XXX.X"]
+
+
+def planes(spark, *pictures):
+    """(mask, all pixels) of pictures drawn with X, an image for each."""
+    cells = [(k, x, y, c) for k, rows in enumerate(pictures) for y, row in enumerate(rows) for x, c in enumerate(row)]
+    px = spark.createDataFrame(cells, "image_id long, x long, y long, c string")
+    return px.where("c = 'X'").select("image_id", "x", "y"), px
+
+
 def test_components_join_across_rows_and_stay_apart_diagonally(spark):
-    picture = ["XX..X", ".X.XX", "X...X", "XXX.X"]
-    mask = spark.createDataFrame([(x, y) for y, row in enumerate(picture) for x, c in enumerate(row) if c == "X"], "x long, y long")
-    got = {(r.x, r.y): r.component for r in K.components(mask, 5).collect()}
+    mask, px = planes(spark, PICTURE)
+    got = {(r.x, r.y): r.component for r in K.components(mask, px).collect()}
     assert {v for v in got.values()} == {0, 4, 10}
     assert got[(1, 1)] == 0 and got[(3, 1)] == 4 and got[(4, 3)] == 4 and got[(2, 3)] == 10
 
 
+def test_images_do_not_mix(spark):
+    """Two images with pixels at the same places: each has its own components, and its own frame."""
+    mask, px = planes(spark, ["XX.", "..."], ["XX", "..", "..", ".X"])
+    got = sorted((r.image_id, r.x, r.y, r.component) for r in K.components(mask, px).collect())
+    assert got == [(0, 0, 0, 0), (0, 1, 0, 0), (1, 0, 0, 0), (1, 1, 0, 0), (1, 1, 3, 7)]
+    assert {(r.image_id, r.x, r.y) for r in K.dilate(mask, 1, px).collect()} == {(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 1, 0), (1, 0, 1), (1, 1, 1), (1, 1, 3), (1, 0, 3), (1, 1, 2)}
+    assert {(r.image_id, r.component, r.area, r.touches_frame) for r in K.sizes(K.components(mask, px), px).collect()} == {(0, 0, 2, True), (1, 0, 2, True), (1, 7, 1, True)}
+
+
+def square(size, *blocks):
+    return ["".join("X" if any(a <= x <= b and c <= y <= e for a, b, c, e in blocks) else "." for x in range(size)) for y in range(size)]
+
+
+def cells(df):
+    return {(r.x, r.y) for r in df.collect()}
+
+
+def test_speckles_holes_and_closing(spark):
+    mask, px = planes(spark, square(10, (1, 1, 1, 1), (4, 7, 4, 7)))
+    assert cells(K.remove_speckles(mask, 4, px)) == {(x, y) for x in range(4, 8) for y in range(4, 8)}
+    ring = [row if y != 4 else row[:4] + "." + row[5:] for y, row in enumerate(square(10, (1, 8, 1, 8)))]
+    mask, px = planes(spark, ring)
+    assert (4, 4) in cells(K.fill_holes(mask, 4, px)) and (4, 4) not in cells(mask)
+    mask, px = planes(spark, square(10, (4, 5, 4, 5)))
+    assert cells(K.erode(K.dilate(mask, 1, px), 1, px)) == cells(mask)
+
+
+def test_islands(spark):
+    """White, a blue and a green field on it, and white patches: the one inside blue is its hole, the one across both a layer."""
+    from pyspark.sql import functions as F
+
+    inside = lambda x, y, a, b, c, d: a <= x <= b and c <= y <= d
+    rows = []
+    for y in range(60):
+        for x in range(60):
+            label = 1 if inside(x, y, 10, 29, 10, 49) else 2 if inside(x, y, 30, 49, 10, 49) else 0
+            island = inside(x, y, 15, 20, 20, 25) or inside(x, y, 25, 35, 34, 39)
+            rows.append((0, x, y, label, island))
+    px = spark.createDataFrame(rows, "image_id long, x long, y long, label long, island boolean")
+    got = K.islands(px.where("island").select(*K.AT), px.where("NOT island").select(*K.AT, "label"), px).collect()
+    assert {(r.verdict, r.owner, r.area) for r in got} == {("hole", 1, 36), ("layer", None, 66)}
+    assert K.islands(px.where("island").select(*K.AT), px.where("NOT island").select(*K.AT, "label"), px, "ignore").count() == 0
+    assert {r.verdict for r in K.islands(px.where("island").select(*K.AT), px.where("NOT island").select(*K.AT, "label"), px, "layer").select(F.col("verdict")).collect()} == {"layer"}
+
+
 def test_empty_mask(spark):
-    assert K.components(spark.createDataFrame([], "x long, y long"), 5).count() == 0
+    mask, px = planes(spark, ["..", ".."])
+    assert K.components(mask, px).count() == 0
