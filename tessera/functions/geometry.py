@@ -146,3 +146,32 @@ def fit_circles(points: DataFrame, key: str, tolerance: float, least: int = 17)
     gate = rank.groupBy(key).agg(pick(95).alias("p95"), pick(99).alias("p99"), F.max("wrong").alias("most"))
     good = gate.where((quantised(F.col("p95")) <= quantised(F.lit(tolerance * 0.5))) & (quantised(F.col("p99")) <= quantised(F.lit(tolerance))) & (quantised(F.col("most")) <= quantised(F.lit(tolerance * 1.5))))
     return turns.join(good, key).select(key, "cx", "cy", "radius")
+
+
+def hysteresis(samples: DataFrame, key: str, value: str, enter: float, leave: float) -> DataFrame:
+    """key, i, strength: the strongest sample (the first on ties) of every run of samples (key, i, value) that stays at
+    `leave` or above and somewhere reaches `enter`. Gaps and islands, within a key."""
+    warm = F.col(value) >= leave
+    group = F.row_number().over(Window.partitionBy(key).orderBy("i")) - F.row_number().over(Window.partitionBy(key, warm).orderBy("i"))
+    runs = samples.withColumn("_g", group).where(warm).groupBy(key, "_g").agg(F.min(F.struct((-F.col(value)).alias("v"), "i")).alias("p"))
+    return runs.select(key, F.col("p.i").alias("i"), (-F.col("p.v")).alias("strength")).where(F.col("strength") >= enter)
+
+
+def corners(samples: DataFrame, key: str, scales: tuple) -> DataFrame:
+    """key, i, scales, turn: the least angle by which the chain turns at a sample, between the points that lie each scale of arc length
+    before and behind it, over the scales that fit on the chain; at least two have to. A chain's arc length is a running sum;
+    the points are met by a join within the chain on whole units of arc length."""
+    order = Window.partitionBy(key).orderBy("i")
+    step = F.coalesce(distance(F.col("x"), F.col("y"), F.lag("x").over(order), F.lag("y").over(order)), F.lit(0.0))
+    at = samples.withColumn("_step", step).withColumn("s", F.sum("_step").over(order)).withColumn("total", F.max("s").over(Window.partitionBy(key)))
+    piece = at.select(key, F.col("s").alias("s0"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("s").over(order).alias("s1"), F.lead("x").over(order).alias("x1"), F.lead("y").over(order).alias("y1")).where("s1 > s0")
+    asked = at.select(key, "i", "x", "y", "s", "total", F.explode(F.array(*map(F.lit, scales))).alias("scale")).where("s - scale >= 0 AND s + scale <= total")
+    asked = asked.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")).withColumn("want", F.col("s") + F.col("side") * F.col("scale"))
+    met = asked.join(piece, [key]).where((F.col("s0") <= F.col("want")) & (F.col("want") < F.col("s1")) | ((F.col("want") == F.col("total")) & (F.col("s1") == F.col("total"))))
+    share = (F.col("want") - F.col("s0")) / (F.col("s1") - F.col("s0"))
+    there = met.select(key, "i", "x", "y", "scale", "side", (F.col("x0") + share * (F.col("x1") - F.col("x0"))).alias("px"), (F.col("y0") + share * (F.col("y1") - F.col("y0"))).alias("py"))
+    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    both = there.groupBy(key, "i", "x", "y", "scale").agg(pick(-1, "px").alias("bx"), pick(-1, "py").alias("by"), pick(1, "px").alias("ax"), pick(1, "py").alias("ay"))
+    ux, uy, vx, vy = F.col("x") - F.col("bx"), F.col("y") - F.col("by"), F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
+    turn = F.abs(F.atan2(ux * vy - uy * vx, ux * vx + uy * vy))
+    return both.withColumn("turn", turn).groupBy(key, "i").agg(F.count("*").alias("scales"), F.min("turn").alias("turn")).where("scales >= 2")

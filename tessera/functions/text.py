@@ -134,3 +134,17 @@ def island_summary(holes: Column, layers: Column) -> Column:
     of_layers = F.when(layers == 1, "1 got a layer of its own").otherwise(F.concat(layers.cast("string"), F.lit(" got layers of their own")))
     outcome = F.when((holes > 0) & (layers > 0), F.concat(of_holes, F.lit(", "), of_layers)).when(holes > 0, "they became holes").otherwise("they got layers of their own")
     return F.when(total == 0, "").when(total == 1, one).otherwise(F.concat(many, outcome, F.lit(".")))
+
+
+def opened(name: Column, suffixes: tuple) -> Column:
+    """Whether a path ends in one of the suffixes, in whatever case."""
+    return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).isin(*suffixes)
+
+
+def linked(href: Column, folder: Column) -> Column:
+    """Where a link leads: "data", a path (relative ones from the document's folder), or why it is refused."""
+    path = F.regexp_replace(href, "^file://", "")
+    return (
+        F.when(F.coalesce(href, F.lit("")) == "", "refused: missing").when(F.startswith(F.lower(href), F.lit("data:")), "data").when(F.lower(href).rlike("^https?:"), "refused: remote")
+        .when(F.startswith(path, F.lit("/")), path).when(folder.isNull(), "refused: unsaved").otherwise(F.concat(folder, F.lit("/"), path))
+    )

@@ -446,3 +446,119 @@ def f_point_polyline(spark, d):
     """The distance from a polyline: the least over its segments."""
     x, y = (F.col("event_id") % 97).cast("double"), F.col("value")
     return table(spark, d, "events").select("event_id", F.round(F.least(*[G.point_segment(x, y, a, b) for a, b in zip(_LINE, _LINE[1:], strict=False)]), 6).alias("distance"))
+
+
+# ------------------------------------------------- sources and limits ----
+_P6 = "printf('%02X%02X%02X', p_size, p_partkey % 256, 7)"
+
+
+@query("src_netpbm", "SELECT p_partkey, i AS x, CAST(0 AS BIGINT) AS y, CAST(CASE i WHEN 0 THEN p_size ELSE 255 END AS BIGINT) AS r, CAST(CASE i WHEN 0 THEN p_partkey % 256 ELSE 254 END AS BIGINT) AS g, CAST(CASE i WHEN 0 THEN 7 ELSE 253 END AS BIGINT) AS b, CAST(CASE WHEN p_partkey % 3 = 1 THEN 9 ELSE 255 END AS BIGINT) AS a FROM part, range(2) AS t(i) WHERE p_partkey % 3 < 2")
+def src_netpbm(spark, d):
+    """Two pixels of a P6 or a P7 file for each part; every third file has another format and is refused."""
+    from tessera.sources.raster import decoded
+
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    first = F.concat(byte(F.col("p_size")), byte(F.col("p_partkey") % 256), F.lit("07"))
+    head = lambda t: F.hex(F.encode(F.lit(t), "US-ASCII"))
+    plain = F.concat(head("P6\n# made here\n2 1\n255\n"), first, F.lit("FFFEFD"))
+    clear = F.concat(head("P7\nWIDTH 2\nHEIGHT 1\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n"), first, F.lit("09FFFEFD09"))
+    kind = F.col("p_partkey") % 3
+    files = table(spark, d, "part").select("p_partkey", F.unhex(F.when(kind == 0, plain).when(kind == 1, clear).otherwise(head("P5 2 1 255 xx"))).alias("content"))
+    return decoded(files, "p_partkey").select("p_partkey", "x", "y", "r", "g", "b", "a")
+
+
+@query("src_raw_pixels", "SELECT p_partkey, x, y, CASE p_partkey % 3 WHEN 0 THEN 10 * y + x ELSE (p_size + 3 * x + 20 * y) % 256 END AS r, CASE p_partkey % 3 WHEN 0 THEN 10 * y + x ELSE (p_size + 1 + 3 * x + 20 * y) % 256 END AS g, CASE p_partkey % 3 WHEN 0 THEN 255 WHEN 1 THEN 255 ELSE (p_size + 9) % 256 END AS a FROM part, (SELECT * FROM range(2) AS t(x), range(2) AS u(y)) ORDER BY ALL")
+def src_raw_pixels(spark, d):
+    """Rows of grey, RGB and RGBA bytes with a stride of twenty, unpacked by arithmetic on the bytes."""
+    byte = lambda c: F.lpad(F.hex(c.cast("long") % 256), 2, "0")
+    kind, size = F.col("p_partkey") % 3, F.col("p_size")
+
+    def line(y: int):
+        grey = [F.lit(10 * y + k) for k in range(2)]
+        rgb = [size + k + 20 * y for k in range(6)]
+        rgba = [v for x in range(2) for v in (size + 3 * x + 20 * y, size + 1 + 3 * x + 20 * y, F.lit(0), size + 9)]
+        return F.when(kind == 0, F.concat(*map(byte, grey))).when(kind == 1, F.concat(*map(byte, rgb))).otherwise(F.concat(*map(byte, rgba)))
+
+    image = table(spark, d, "part").select("p_partkey", F.concat(F.rpad(line(0), 40, "0"), line(1)).alias("raw"), F.when(kind == 0, 1).when(kind == 1, 3).otherwise(4).alias("depth"))
+    cell = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for y in range(2) for x in range(2)])
+    px = image.select("p_partkey", "raw", "depth", F.explode(cell).alias("c")).select("p_partkey", "raw", "depth", "c.*")
+    channel = lambda k: F.conv(F.substr("raw", ((F.col("y") * 20 + F.col("x") * F.col("depth") + k) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+    grey = F.col("depth") == 1
+    return px.select("p_partkey", "x", "y", channel(F.lit(0)).alias("r"), F.when(grey, channel(F.lit(0))).otherwise(channel(F.lit(1))).alias("g"), F.when(F.col("depth") == 4, channel(F.lit(3))).otherwise(F.lit(255)).alias("a"))
+
+
+# The suffixes that the command line opens.
+SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp", "ppm", "pgm")
+
+
+@query("src_standalone", "SELECT o_orderkey, o_orderkey % 5 IN (0, 1) AS opened FROM orders")
+def src_standalone(spark, d):
+    """Whether a path's suffix is one that is opened, in whatever case."""
+    name = F.element_at(F.array(*map(F.lit, ("a.PNG", "dir.x/b.tiff", "c.svg", "d", "e.png.txt"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.opened(name, SUFFIXES).alias("opened"))
+
+
+@query("src_linked", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'data' WHEN 1 THEN '/abs/p.png' WHEN 2 THEN '/docs/img/p.png' WHEN 3 THEN 'refused: remote' WHEN 4 THEN 'refused: missing' ELSE 'refused: unsaved' END AS target FROM orders")
+def src_linked(spark, d):
+    """Where an image link of a document leads: embedded data, an absolute path, one beside the document; remote, missing and unsaved ones are refused."""
+    k = (F.col("o_orderkey") % 6 + 1).cast("int")
+    href = F.element_at(F.array(*[F.lit(v).cast("string") for v in ("data:image/png;base64,AA", "file:///abs/p.png", "img/p.png", "HTTPS://x/p.png", "", "img/p.png")]), k)
+    folder = F.when(k == 6, F.lit(None).cast("string")).otherwise("/docs")
+    return table(spark, d, "orders").select("o_orderkey", T.linked(href, folder).alias("target"))
+
+
+@query("src_json_static", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', {v[1]}, {v[2]}, '{v[5]}')" for k, v in __import__("tessera.operators.documents", fromlist=["DESTINATIONS"]).DESTINATIONS.items()) + ") AS t(destination, policy, underlap, trapping, profile)")
+def src_json_static(spark, d):
+    """The table of destinations, read through JSON text."""
+    import json
+
+    from tessera.operators.documents import DESTINATIONS
+
+    text = json.dumps([{"destination": k, "policy": v[0], "underlap": v[1], "trapping": v[2], "profile": v[5]} for k, v in DESTINATIONS.items()])
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<destination: string, policy: string, underlap: double, trapping: double, profile: string>>")).alias("d"))
+    return rows.select("d.*")
+
+
+@query("lim_resources", f"WITH {O.PIXEL}, n AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h, count(*) AS n, count(DISTINCT zone * 16 + noise) AS regions FROM pixel GROUP BY image_id) SELECT image_id, CASE WHEN w > 4096 THEN 'width' WHEN h > 30 THEN 'height' WHEN n > 3500 THEN 'pixels' WHEN regions > 30 THEN 'regions' ELSE 'ok' END AS verdict FROM n")
+def lim_resources(spark, d):
+    """The first limit that an image exceeds: counted before any work, one row for an image."""
+    px = pixels(spark, d)
+    n = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count("*").alias("pixels"), F.count_distinct(F.col("zone") * 16 + F.col("noise")).alias("regions"))
+    out = F.lit("ok")
+    for name, most in (("regions", 30), ("pixels", 3500), ("height", 30), ("width", 4096)):
+        out = F.when(F.col(name) > most, name).otherwise(out)
+    return n.select("image_id", out.alias("verdict"))
+
+
+# --------------------------------------------------------- along chains ----
+@query("win_hysteresis", f"WITH {_CHAIN}, m AS (SELECT *, y >= 40 AS warm, row_number() OVER (PARTITION BY chain ORDER BY i) - row_number() OVER (PARTITION BY chain, y >= 40 ORDER BY i) AS g FROM chain), r AS (SELECT chain, g, max(y) AS top FROM m WHERE warm GROUP BY chain, g HAVING max(y) >= 70) SELECT m.chain, CAST(min(m.i) AS BIGINT) AS i, any_value(top) AS strength FROM m JOIN r ON r.chain = m.chain AND r.g = m.g AND m.warm AND m.y = r.top GROUP BY m.chain, m.g")
+def win_hysteresis(spark, d):
+    """Runs of samples that reach 70 and stay at 40 or above: the strongest of each, the first on ties."""
+    return G.hysteresis(chain(spark, d), "chain", "y", 70.0, 40.0)
+
+
+@query("win_corner_multiscale")
+def win_corner_multiscale(spark, d):
+    """The least turning angle of each sample over arc lengths of 2, 4 and 8, where at least two of them fit on the chain."""
+    return G.corners(chain(spark, d), "chain", (2.0, 4.0, 8.0)).select("chain", "i", "scales", F.round("turn", 6).alias("turn"))
+
+
+@query("srt_canonical_palette", f"WITH {O.PIXEL},\n{O.lab(half='engine')}, c AS (SELECT zone, avg(l) AS l, avg(ok_a) AS oa, avg(ok_b) AS ob FROM lab GROUP BY zone) SELECT zone, row_number() OVER (ORDER BY floor(l * 1e9 + 0.5), floor(oa * 1e9 + 0.5), floor(ob * 1e9 + 0.5)) AS place FROM c")
+def srt_canonical_palette(spark, d):
+    """Centres in an order that only their quantised colours decide; a palette has at most 64 rows."""
+    from tessera.functions import color as C
+
+    l, a, b = C.oklab(*(C.unit(x) for x in "rgb"), "engine")
+    c = pixels(spark, d).withColumns({"l": l, "oa": a, "ob": b}).groupBy("zone").agg(F.avg("l").alias("l"), F.avg("oa").alias("oa"), F.avg("ob").alias("ob"))
+    return c.select("zone", F.row_number().over(Window.orderBy(*[C.quant_key(F.col(n)) for n in ("l", "oa", "ob")])).cast("long").alias("place"))
+
+
+@query("f_sample_premul", f"WITH {O.PIXEL}, m AS (SELECT *, a / 255.0 AS al, CASE zone WHEN 0 THEN 'opaque' WHEN 1 THEN 'premultiplied' ELSE 'straight' END AS mode, CASE WHEN r / 255.0 <= 0.04045 THEN r / 255.0 / 12.92 ELSE pow((r / 255.0 + 0.055) / 1.055, 2.4) END AS lin FROM pixel) SELECT pixel_id, round(CASE mode WHEN 'opaque' THEN lin WHEN 'premultiplied' THEN CASE WHEN al = 0 THEN 0 ELSE lin END ELSE lin * al END, 6) AS red, round(CASE mode WHEN 'opaque' THEN 1 ELSE al END, 6) AS alpha FROM m")
+def f_sample_premul(spark, d):
+    """Premultiplied linear samples of images whose alpha is to be ignored, already applied, or still to be."""
+    from tessera.functions import color as C
+
+    mode = F.when(F.col("zone") == 0, "opaque").when(F.col("zone") == 1, "premultiplied").otherwise("straight")
+    alpha, red = C.unit("a"), C.to_linear(C.unit("r"))
+    shown = F.when(mode == "opaque", red).when(mode == "premultiplied", F.when(alpha == 0, 0.0).otherwise(red)).otherwise(red * alpha)
+    return pixels(spark, d).select("pixel_id", F.round(shown, 6).alias("red"), F.round(F.when(mode == "opaque", 1.0).otherwise(alpha), 6).alias("alpha"))

@@ -101,3 +101,23 @@ def sniff(content: Column) -> Column:
     for magic, kind in known.items():
         out = out.when(F.startswith(head, F.lit(magic)), kind)
     return out.when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+
+
+def decoded(files: DataFrame, key: str) -> DataFrame:
+    """key, x, y, r, g, b, a of files (key, content); those that are no Netpbm file read here are left out."""
+    import numpy as np
+
+    kind = dict(files.dtypes)[key]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(key).to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    width, height, body = decode_netpbm(bytes(raw))
+                except (ValueError, KeyError):
+                    continue
+                at = np.arange(width * height)
+                rgba = np.frombuffer(body, np.uint8).reshape(-1, 4).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), *(pa.array(v) for v in (at % width, at // width, *rgba.T))], [key, "x", "y", "r", "g", "b", "a"])
+
+    return files.select(key, "content").mapInArrow(unpack, f"{key} {kind}, x long, y long, r long, g long, b long, a long")
