@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import masks as K
+from tessera.operators import tracing as V
+from tessera.operators.lineage import written
 from tessera.plans import oracle as O
 from tessera.plans.registry import query
 from tessera.sources.raster import pixels
@@ -115,11 +117,19 @@ def set_exclusive(spark, d):
     return K.exclusive(layers(pixels(spark, d)))
 
 
-@query("set_validate", f"{CTE}, {MASK}, {OTHER}, {_LAYERS}, area AS (SELECT e.entry, count(l.x) AS n, sum(l.x * 7919 + l.y * 104729) AS s, sum(l.x * l.y) AS t FROM (VALUES ('low'), ('mid'), ('top'), ('none')) AS e(entry) LEFT JOIN layers l USING (entry) GROUP BY e.entry) SELECT entry, CAST(n AS BIGINT) AS area, CASE WHEN n = 0 THEN 'empty_operation' WHEN n < 4 THEN 'operation_below_minimum_area' ELSE 'ok' END AS code FROM area")
+@query("set_validate", f"{CTE}, {MASK}, {OTHER}, {_LAYERS}, many AS (SELECT * FROM layers UNION ALL SELECT image_id, x, y, 'copy', 3 FROM mask UNION ALL SELECT image_id, x, y, 'tiny', 4 FROM mask WHERE x = 13 AND y = 1), area AS (SELECT e.entry, count(l.x) AS n FROM (VALUES ('low'), ('mid'), ('top'), ('none'), ('copy'), ('tiny')) AS e(entry) LEFT JOIN many l USING (entry) GROUP BY e.entry) SELECT entry, 'empty_operation' AS code FROM area WHERE n = 0 UNION ALL SELECT entry, 'operation_below_minimum_area' FROM area WHERE n BETWEEN 1 AND 3 UNION ALL SELECT 'mid', 'duplicate_operation' FROM area WHERE entry = 'mid' AND n > 0")
 def set_validate(spark, d):
-    names = spark.createDataFrame([(e,) for e in ("low", "mid", "top", "none")], "entry string")
-    area = names.join(layers(pixels(spark, d)).groupBy("entry").agg(F.count("*").alias("n")), "entry", "left").select("entry", F.coalesce("n", F.lit(0)).cast("long").alias("area"))
-    return area.withColumn("code", F.when(F.col("area") == 0, "empty_operation").when(F.col("area") < 4, "operation_below_minimum_area").otherwise("ok"))
+    """Layers that are empty, too small, or the same as an earlier one by name: equal order-free digests, so masks are never compared pairwise."""
+    px = pixels(spark, d)
+    m = mask(px)
+    more = m.select(*K.AT, F.lit("copy").alias("entry"), F.lit(3).alias("layer")).union(m.where("x = 13 AND y = 1").select(*K.AT, F.lit("tiny").alias("entry"), F.lit(4).alias("layer")))
+    names = spark.createDataFrame([(e,) for e in ("low", "mid", "top", "none", "copy", "tiny")], "entry string")
+    mark = [F.sum(F.pmod(F.xxhash64(*K.AT, F.lit(k)), F.lit(1 << 40))) for k in (1, 2)]
+    area = written(names.join(layers(px).union(more).groupBy("entry").agg(F.count("*").alias("n"), mark[0].alias("s"), mark[1].alias("t")), "entry", "left").withColumn("n", F.coalesce("n", F.lit(0))), "areas")
+    small = area.where("n < 4").select("entry", F.when(F.col("n") == 0, "empty_operation").otherwise("operation_below_minimum_area").alias("code"))
+    first = area.where("n > 0").groupBy("n", "s", "t").agg(F.min("entry").alias("first"))
+    twice = area.where("n > 0").join(first, ["n", "s", "t"]).where("entry <> first").select("entry", F.lit("duplicate_operation").alias("code"))
+    return small.union(twice)
 
 
 @query("agg_distinct_pairs", f"{CTE}, {OTHER}, copies AS (SELECT image_id, x, y, 'a' AS entry FROM other UNION ALL SELECT image_id, x, y, 'b' FROM other UNION ALL SELECT image_id, x, y, 'c' FROM other WHERE x > 0), n AS (SELECT entry, count(*) AS c FROM copies GROUP BY entry), shared AS (SELECT p.entry AS first, q.entry AS second, count(*) AS c FROM copies p JOIN copies q ON p.image_id = q.image_id AND p.x = q.x AND p.y = q.y AND p.entry < q.entry GROUP BY ALL) SELECT first, second FROM shared JOIN n a ON a.entry = first JOIN n b ON b.entry = second WHERE shared.c = a.c AND a.c = b.c")
@@ -219,3 +229,46 @@ def h_set_label(spark, d):
     px = pixels(spark, d)
     top = layers(px).groupBy(*K.AT).agg((F.max("layer") + 1).cast("long").alias("label"))
     return px.join(top, K.AT, "left").select("pixel_id", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+
+
+# -------------------------------------------------------------- tracing ----
+@query("g_trace_contour")
+def g_trace_contour(spark, d):
+    """Outlines of every component of the mask; tested on drawn masks and against a plain walk."""
+    px = pixels(spark, d)
+    return V.trace_contours(mask(px), px, 2)
+
+
+@query("u_registry", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', '{v}', {str(a).lower()}, '{','.join(s)}')" for k, (n, (v, a, s)) in enumerate(V.BACKENDS.items())) + ") AS t(place, id, version, available, settings)")
+def u_registry(spark, d):
+    return V.backends(spark).withColumn("settings", F.array_join("settings", ","))
+
+
+@query("h_list_backends", "SELECT 'python_contour' AS id")
+def h_list_backends(spark, d):
+    """Those that can be used here."""
+    return V.backends(spark).where("available").select("id")
+
+
+@query("u_conformance", "SELECT * FROM (VALUES ('valid_paths', true), ('closed_paths', true), ('deterministic', true), ('no_empty_path', true)) AS t(\"check\", passed)")
+def u_conformance(spark, d):
+    """What a backend has to keep to, checked on the contour backend over the mask, traced twice."""
+    px = pixels(spark, d)
+    one, two = (written(V.trace_contours(mask(px), px, 2), "traced") for _ in range(2))
+    return V.conformance(one, two)
+
+
+@query("agg_fit_stats")
+def agg_fit_stats(spark, d):
+    """Outlines, nodes and the longest outline of each image."""
+    px = pixels(spark, d)
+    return V.trace_contours(mask(px), px, 2).groupBy("image_id").agg(F.count("*").alias("paths"), F.sum("nodes").alias("nodes"), F.max("nodes").alias("longest"))
+
+
+@query("agg_coverage_gate", f"{CTE}, {MASK}, {OTHER}, {_LAYERS}, n AS (SELECT p.image_id, p.x, p.y, count(l.entry) AS total FROM pixel p LEFT JOIN layers l ON l.image_id = p.image_id AND l.x = p.x AND l.y = p.y GROUP BY ALL) SELECT image_id, CAST(count(*) FILTER (total < 1) AS BIGINT) AS exposed, CAST(count(*) FILTER (total > 1) AS BIGINT) AS overlapping FROM n GROUP BY image_id")
+def agg_coverage_gate(spark, d):
+    """Pixels that no layer covers, and those that more than one covers; whole pixels cover by 0 or 1 each."""
+    px = pixels(spark, d)
+    total = layers(px).groupBy(*K.AT).agg(F.count("*").alias("total"))
+    n = px.select(*K.AT).join(total, K.AT, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return n.groupBy("image_id").agg(F.count_if(F.col("total") < 1).alias("exposed"), F.count_if(F.col("total") > 1).alias("overlapping"))
