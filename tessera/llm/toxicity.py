@@ -4,8 +4,9 @@ log-count ratios.
 A document's features are the n-grams (ORDERS bytes, word borders included) of
 its distinct lower-cased words; a feature's value is the number of distinct
 words that hold it, times its log-count ratio between toxic and other labelled
-documents. Logistic regression is fitted on the SELECTED features whose counts
-differ most. As scores add up over distinct words, a worker scores each word
+documents. Words are runs of letters: digits, punctuation and n-grams across words are
+no features. Logistic regression is fitted on the SELECTED features whose counts differ most,
+both kinds of documents weighing the same in all. As scores add up over distinct words, a worker scores each word
 once and keeps it.
 
 Defined cases: null text is empty; an empty text scores the intercept alone;
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.llm.common import documents, held_out, tune, written
+from tessera.llm.common import Recent, documents, held_out, tune, written
 from tessera.llm.labelled import labelled_sample
 
 #: Bound of the labelled sample.
@@ -34,8 +35,9 @@ ORDERS = (3, 4, 5)
 SLOTS = 1 << 18
 #: Features that enter the regression, so a bound on what the driver holds.
 SELECTED = 8_000
-ITERATIONS, RIDGE = 300, 3e-4
-CACHE = 500_000
+ITERATIONS, RIDGE = 300, 3e-3
+#: Bytes of each generation of a worker's cache.
+CACHE_BYTES = 60_000_000
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,20 +74,16 @@ class Model:
 
     weight: np.ndarray
     bias: float
-    cache: dict[str, float] = field(default_factory=dict)
+    cache: Recent = field(default_factory=lambda: Recent(CACHE_BYTES))
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         sets = [distinct_words(t) for t in texts]
-        new = [w for w in set().union(*sets) if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set().union(*sets))
-        words = sorted(new)
+        words = sorted(self.cache.missing(set().union(*sets)))
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
             slot, owner = grams(part)
-            self.cache.update(zip(part, np.bincount(owner, self.weight[slot], len(part)).tolist(), strict=True))
-        get = self.cache.__getitem__
+            self.cache.learn(part, np.bincount(owner, self.weight[slot], len(part)).tolist())
+        get = self.cache.now.__getitem__
         return np.array([self.bias + sum(map(get, sorted(s))) for s in sets])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -93,17 +91,18 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights over len(ratio) features of rows (feature, count) and an intercept, by Adam on the whole sample."""
+    """Weights over len(ratio) features of rows (feature, count) and an intercept, by Adam on the whole sample, in which both kinds weigh the same."""
     size = np.array([len(f) for f, _ in rows], np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
     owner, feature = owner.astype(np.int32), np.concatenate([f for f, _ in rows])
     value = (np.concatenate([c for _, c in rows]) * ratio[feature]).astype(np.float32)
     w, share = np.zeros(len(ratio)), y.mean()
+    each = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
     b = np.log(share / (1 - share))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ITERATIONS + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(owner, value * w[feature], len(y)), -50, 50)))
-        err = (p - y) / len(y)
+        err = (p - y) * each
         g = np.bincount(feature, value * err[owner], len(w)) + RIDGE * w
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

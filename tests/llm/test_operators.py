@@ -647,6 +647,92 @@ def test_classifiers_learn(spark):
         assert (got.predicted == got[label]).mean() >= least
 
 
+def test_toxicity_scores_against_a_scalar_sum():
+    """Every word of a text once, every n-gram of it, one at a time."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.SLOTS), -0.3)
+
+    def slot(gram):
+        h = len(gram)
+        for byte in gram:
+            h = ((h ^ byte) * 0x01000193) % 2**32
+        return (((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32) >> 14
+
+    texts = ["Some WORDS, some more words", "", None, "été 42 x", "a" * 3000 + " tail"]
+    want = []
+    for t in texts:
+        words = {b"<" + w.encode() + b">" for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
+        want.append(-0.3 + sum(model.weight[slot(w[i : i + n])] for w in words for n in toxicity.ORDERS for i in range(len(w) - n + 1)))
+    assert model.margins(texts) == pytest.approx(want)
+    assert model.margins(texts[:1] * 2 + texts[3:4]) == pytest.approx([want[0], want[0], want[3]])
+
+
+def test_toxicity_fit_finds_the_weights_of_a_small_problem():
+    """Against plain gradient descent on the same weighted loss."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (200, 4))
+    y = (x @ np.array([1.0, -1.0, 0.5, 0.0]) + rng.normal(size=200) > 1).astype(float)
+    ratio = np.array([1.0, 0.5, 2.0, 1.0])
+    w, b = toxicity.fit([(np.flatnonzero(r), r[r > 0]) for r in x], y, ratio)
+    value, each = x * ratio, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    loss = lambda w, b: -(each * np.log(np.where(y == 1, 1 / (1 + np.exp(-(value @ w + b))), 1 / (1 + np.exp(value @ w + b))))).sum() + toxicity.RIDGE / 2 * (w @ w)
+    v, c = np.zeros(4), 0.0
+    for _ in range(20_000):
+        err = (1 / (1 + np.exp(-(value @ v + c))) - y) * each
+        v, c = v - 0.2 * (value.T @ err + toxicity.RIDGE * v), c - 0.2 * err.sum()
+    assert loss(w, b) < loss(v, c) + 2e-3
+
+
+def test_toxicity_recall_on_held_out_documents(spark):
+    base = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    toxic = got.toxic == 1
+    assert got[toxic].predicted.mean() >= 0.88 and got[got.predicted == 1].toxic.mean() >= 0.97
+
+
+def test_trees_against_a_scalar_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, len(quality.STATISTICS))).astype(np.float32)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 3] > 0)).astype(float)
+    forest = quality.grow(x, y)
+    for row in x[:40]:
+        total = forest.base
+        for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            total += leaf[node - len(feature)]
+        assert forest.margin(row[None])[0] == pytest.approx(total)
+    assert (forest.score(x).round() == y).mean() > 0.95
+
+
+def test_first_split_is_the_best_of_all(monkeypatch):
+    """Every statistic and every cut tried one by one."""
+    monkeypatch.setattr(quality, "TREES", 1)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, len(quality.STATISTICS))).astype(np.float32)
+    y = (x[:, 5] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    forest, p = quality.grow(x, y), y.mean()
+    g, h, best = p - y, np.full(300, p * (1 - p)), (0, None)
+    for f in range(x.shape[1]):
+        for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower")):
+            left = x[:, f] <= c
+            if min(left.sum(), (~left).sum()) >= quality.LEAF_ROWS:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.RIDGE) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + quality.RIDGE)
+                best = max(best, (gain, (f, float(c))), key=lambda b: b[0])
+    assert (int(forest.feature[0, 0]), float(forest.cut[0, 0])) == pytest.approx(best[1])
+
+
+def test_classifiers_on_very_long_texts_and_ties(spark):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, "bad words here" if i % 2 else "good text there", "en") for i in range(60)] + [(100, "word " * 200_000, "en"), (101, "word " * 200_000, "en")]
+    for operator, label, limit in ((toxicity.toxicity, "toxic", toxicity.THRESHOLD), (quality.quality, "quality", quality.THRESHOLD)):
+        got = operator(table(spark, rows), labels.select("doc_id", label)).toPandas().set_index("doc_id")
+        assert got.score[100] == got.score[101] and ((got.score >= limit).astype(int) == got.predicted).all()
+
+
 def test_registry():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
     assert numbers == list(range(1, 11)) and set(registry.oracle_sql()) <= set(registry.queries())
