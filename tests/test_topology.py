@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import regions as R
 from tessera.operators import topology as T
@@ -73,7 +72,7 @@ def test_cycles_against_a_walk(spark, name):
     for k, g in enumerate(grids):
         assert sorted(got[k]) == walk(g, {(x, y): v for (i, x, y), v in joined.items() if i == k})
     assert all(r.violations == 0 for r in t.violations().collect())
-    lengths = {tuple(map(tuple, r.points)) for r in T.walked(t).collect()}
+    lengths = [[tuple(q) for q in r.points] for r in T.walked(t).collect()]
     assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for p in lengths for a, b in zip(p, p[1:], strict=False))
     assert sum(len(p) - 1 for p in lengths) == t.darts.count()
 
@@ -119,7 +118,7 @@ def test_decisions_against_a_scalar_rule(spark):
 
 def test_broken_graphs_are_told(spark):
     t = T.Topology(*plane(spark, quadrants()))
-    t.chains = t.chains.where(F.col("chain") != t.chains.agg(F.max("chain").alias("c")).first().c)
+    t.chains = t.chains.where("NOT (chain.y = 0 AND chain.x = 0 AND chain.dir = 2)")
     bad = {r.check for r in t.violations().collect() if r.violations}
     assert {"twin_involution", "shared_edge_is_one_chain"} <= bad
 
