@@ -51,3 +51,17 @@ def test_merge_never_raises_the_number_of_regions(spark):
     got = QUERIES["g_region_merge"](spark, SF).toPandas()
     assert set(got.root) <= set(got.region)
     assert got.root.nunique() < len(got)
+
+
+def test_signed_area_rounds_halves_as_its_sql(spark, tmp_path):
+    """Areas that end on half a hundredth, above and below zero: the product with 100 decides, not the printed digits."""
+    rng = np.random.default_rng(3)
+    values = np.round(rng.uniform(0, 150, 20_000), 2)
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "event_id long, value double").repartition(5).write.parquet(path)
+    mine = QUERIES["win_signed_area"](spark, str(tmp_path)).toPandas()
+    with duckdb.connect() as c:
+        c.sql("set threads = 1")  # several add up parts of a chain in turn, and halves may then fall otherwise
+        c.sql(f"create view events as select * from '{path}/*.parquet'")
+        theirs = c.sql(SQL["win_signed_area"]).df()
+    assert len(mine) == 500 and rows(mine) == rows(theirs)
