@@ -5,15 +5,18 @@ border between two labels, named by where it starts (x, y: a corner of the pixel
 direction (0 north, 1 east, 2 south, 3 west), with one label on its left. Outside the image stands EXTERIOR.
 
 The successor of a dart is found by one join with the vertex at its end; chains and cycles are components
-over successors. Nothing walks the plane, so images of any size and number go through the same plan.
+over successors. Nothing walks the plane, so images of any size and number go through the same plan. For the corners
+of chains in order, what lies in one tile of the plane is strung together at once; only chains that cross tiles need components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,12 +160,15 @@ class Topology:
         self.joined = written(decisions(labels, px, pixel_art), "ambiguous")
         steps = successors(darts(labels), self.joined)
         cross = F.col("x") * F.col("end_y") - F.col("end_x") * F.col("y")
-        steps = written(steps.select("image_id", key("x", "y", "dir").alias("dart"), key("end_x", "end_y", "next_dir").alias("next"), F.struct("image_id", F.col("end_y").alias("y"), F.col("end_x").alias("x"), ((F.col("dir") + 2) % 4).cast("int").alias("dir")).alias("twin"), "through", "lft", "rgt", cross.alias("cross"), "x", "y", "end_x", "end_y"), "darts")
-        named = connected_components(steps.where("through").select(F.col("dart").alias("a"), F.col("next").alias("b")))
-        self.darts = written(steps.join(named.select(F.col("node").alias("dart"), "component"), "dart", "left").withColumn("chain", F.coalesce("component", "dart")).drop("component"), "darts-chained")
-        self.chains = self._chains()
+        self.steps = written(steps.select("image_id", key("x", "y", "dir").alias("dart"), key("end_x", "end_y", "next_dir").alias("next"), F.struct("image_id", F.col("end_y").alias("y"), F.col("end_x").alias("x"), ((F.col("dir") + 2) % 4).cast("int").alias("dir")).alias("twin"), "through", "lft", "rgt", cross.alias("cross"), "x", "y", "end_x", "end_y"), "darts")
 
-    def _chains(self) -> DataFrame:
+    @cached_property
+    def darts(self) -> DataFrame:
+        named = connected_components(self.steps.where("through").select(F.col("dart").alias("a"), F.col("next").alias("b")))
+        return written(self.steps.join(named.select(F.col("node").alias("dart"), "component"), "dart", "left").withColumn("chain", F.coalesce("component", "dart")).drop("component"), "darts-chained")
+
+    @cached_property
+    def chains(self) -> DataFrame:
         of = self.darts.select("dart", "chain")
         last = self.darts.where("NOT through").select("chain", F.col("next").alias("dart")).join(of.withColumnRenamed("chain", "next"), "dart").select("chain", "next")
         first = self.darts.join(self.darts.where("NOT through").select(F.col("next").alias("dart")).distinct(), "dart", "left_semi").select("chain", F.col("dart").alias("first"))
@@ -226,24 +232,97 @@ class Topology:
         return out
 
 
-def walked(topology: Topology) -> DataFrame:
-    """image_id, chain, points: the corners of every chain in order. A chain is one group: its length is bounded by its image."""
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        at = {(r.y, r.x, r.dir): k for k, r in enumerate(part.itertuples(index=False))}
-        onward = list(zip(part["ny"], part["nx"], part["ndir"], strict=True))
-        k = at[(part["fy"].iloc[0], part["fx"].iloc[0], part["fdir"].iloc[0])]
-        points = [[int(part["x"].iloc[k]), int(part["y"].iloc[k])]]
-        for _ in range(len(part)):
-            points.append([int(part["nx"].iloc[k]), int(part["ny"].iloc[k])])
-            k = at.get(onward[k], -1)
-            if k < 0:
-                break
-        return pd.DataFrame({"image_id": part["image_id"].iloc[:1], "cy": part["cy"].iloc[:1], "cx": part["cx"].iloc[:1], "cdir": part["cdir"].iloc[:1], "points": [points]})
-
-    d = topology.darts.join(topology.chains.select("chain", "first"), "chain")
-    flat = d.select("image_id", F.col("chain.y").alias("cy"), F.col("chain.x").alias("cx"), F.col("chain.dir").alias("cdir"), F.col("dart.y").alias("y"), F.col("dart.x").alias("x"), F.col("dart.dir").alias("dir"), F.col("next.y").alias("ny"), F.col("next.x").alias("nx"), F.col("next.dir").alias("ndir"), F.col("first.y").alias("fy"), F.col("first.x").alias("fx"), F.col("first.dir").alias("fdir"))
-    return flat.groupBy("image_id", "cy", "cx", "cdir").applyInPandas(walk, f"image_id {dict(flat.dtypes)['image_id']}, cy long, cx long, cdir int, points array<array<long>>")
+#: Side of the squares of the plane in which chains are first strung together.
+TILE = 512
+
+
+def segments(part: pa.Table, tile: int) -> pa.Table:
+    """The darts of one tile strung together, one row for each chain's stretch in it: first, least and next dart, the place of
+    the least one, whether it may come from another tile, whether it goes on in one, and its corners in order."""
+    y, x, way, ny, nx, nway = (part[c].to_numpy().astype(np.int64) for c in ("y", "x", "dir", "ny", "nx", "ndir"))
+    through, n = part["through"].to_numpy(zero_copy_only=False).astype(bool), len(y)
+    low_y, low_x = min(y.min(), ny.min()), min(x.min(), nx.min())
+    wide = max(x.max(), nx.max()) - low_x + 1
+    named = lambda y, x, way: ((y - low_y) * wide + x - low_x) * 4 + way
+    code = named(y, x, way)
+    order = np.argsort(code)
+    x, y, nx, ny, nway, way, through, code = (v[order] for v in (x, y, nx, ny, nway, way, through, code))
+    onward = named(ny, nx, nway)
+    at = np.minimum(np.searchsorted(code, onward), n - 1)
+    at = np.where(through & (code[at] == onward), at, n)  # n: nothing follows here
+    # minima over all that follows; on a closed chain, the least dart
+    low, jump = np.arange(n + 1), np.r_[at, n]
+    for _ in range(int(n).bit_length() + 1):
+        low, jump = np.minimum(low, low[jump]), jump[jump]
+    closed = jump[:-1] < n
+    before = np.full(n + 1, -1)
+    before[at] = np.arange(n)
+    head = (before[:-1] < 0) | closed & (low[:-1] == np.arange(n))
+    at = np.where((at < n) & np.r_[head, False][at], n, at)  # closed chains are cut at their least dart
+    # a dart's place, counted from the end of its stretch, which names the stretch
+    left, jump, last = np.r_[(at < n).astype(np.int64), 0], np.r_[at, n], np.r_[np.where(at < n, at, np.arange(n)), n]
+    for _ in range(int(n).bit_length() + 1):
+        left, jump, last = left + left[jump], jump[jump], last[last]
+    order = np.lexsort((-left[:-1], last[:-1]))
+    first = np.flatnonzero(np.r_[True, last[order][1:] != last[order][:-1]])
+    size = np.diff(np.r_[first, n])
+    heads, tails = order[first], order[first + size - 1]
+    least = np.minimum.reduceat(order, first)
+    edge = lambda v: ((v > 0) & (v % tile == 0)) | (v % tile == tile - 1)
+    corners = np.empty((n + len(first), 2), np.int64)
+    start = first + np.arange(len(first))
+    rest = np.ones(len(corners), bool)
+    rest[start] = False
+    corners[start] = np.c_[x[heads], y[heads]]
+    corners[rest] = np.c_[nx[order], ny[order]]
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(corners) + 1, 2), pa.int32()), pa.array(corners.ravel()))
+    columns = {
+        "image_id": part["image_id"].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(first), np.int64))),
+        **{f"h{c}": v[heads] for c, v in (("y", y), ("x", x), ("dir", way))},
+        **{f"c{c}": v[least] for c, v in (("y", y), ("x", x), ("dir", way))},
+        **{f"n{c}": v[tails] for c, v in (("y", ny), ("x", nx), ("dir", nway))},
+        "place": left[heads] - left[least],
+        "entered": ~closed[heads] & (edge(x[heads]) | edge(y[heads])),
+        "leaves": ~closed[heads] & through[tails],
+        "points": pa.ListArray.from_arrays(pa.array(np.r_[start, len(corners)], pa.int32()), pairs),
+    }
+    return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+
+
+def strung(part: pd.DataFrame) -> pd.DataFrame:
+    """One chain from its stretches: they follow each other, and a closed chain starts at its least dart."""
+    rows = list(part.itertuples(index=False))
+    at = {(r.hy, r.hx, r.hdir): r for r in rows}
+    follows = {(r.ny, r.nx, r.ndir) for r in rows if r.leaves}
+    best = min(rows, key=lambda r: (r.cy, r.cx, r.cdir))
+    begin = [r for r in rows if (r.hy, r.hx, r.hdir) not in follows]
+    r, points, turn = begin[0] if begin else best, [], best.place
+    for _ in rows:
+        points += [list(p) for p in r.points][len(points) > 0 :]
+        if not r.leaves:
+            break
+        r = at[(r.ny, r.nx, r.ndir)]
+    if not begin:
+        points = points[turn:] + points[1 : turn + 1]
+    return pd.DataFrame({"image_id": [best.image_id], "cy": [best.cy], "cx": [best.cx], "cdir": [best.cdir], "points": [points]})
+
+
+def walked(topology: Topology, tile: int = TILE) -> DataFrame:
+    """image_id, chain, points: the corners of every chain in order. A tile is one group, and so is a chain that crosses tiles:
+    its length is bounded by its image."""
+    place = lambda v, n: [F.col(f"{v}.y").alias(f"{n}y"), F.col(f"{v}.x").alias(f"{n}x"), F.col(f"{v}.dir").alias(f"{n}dir")]
+    flat = topology.steps.select("image_id", *place("dart", ""), *place("next", "n"), "through")
+    kind = dict(flat.dtypes)["image_id"]
+    found = flat.groupBy("image_id", F.expr(f"y div {tile}"), F.expr(f"x div {tile}")).applyInArrow(lambda part: segments(part, tile), f"image_id {kind}, hy long, hx long, hdir long, cy long, cx long, cdir long, ny long, nx long, ndir long, place long, entered boolean, leaves boolean, points array<array<long>>")
+    found = written(found, "stretches")
+    out = ["image_id", "cy", "cx", "cdir", "points"]
+    whole, rest = found.where("NOT entered AND NOT leaves").select(*out), found.where("entered OR leaves")
+    if rest.isEmpty():
+        return whole
+    at = lambda n: F.struct("image_id", *(F.col(f"{n}{c}").alias(c) for c in ("y", "x", "dir")))
+    chain = connected_components(rest.where("leaves").select(at("h").alias("a"), at("n").alias("b")))
+    named = rest.withColumn("head", at("h")).join(chain.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
+    return whole.union(named.groupBy("component").applyInPandas(strung, f"image_id {kind}, cy long, cx long, cdir long, points array<array<long>>").select(*out))
 
 
 def label_components(px: DataFrame, mask: DataFrame) -> DataFrame:
