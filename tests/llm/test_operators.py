@@ -451,6 +451,41 @@ def test_lm_tables_grow_with_the_training_text(spark, monkeypatch):
         assert all(int(s.max()) < 1 << log2 + grow for s, (_, log2) in zip(slots, mixing.CONTEXTS, strict=True))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lm_teaches_on_all_training_rows(spark, broadcast):
+    """Maps, gated weights and refinement come from every training line, whether tables are broadcast or asked for."""
+    store = lm.chunk_store(spark.read.parquet(DOCS), True, ~lm.held_out("doc_id", 5, 1))
+    code, *_ = lm.training_code(store)
+    tables = lm.written(lm.training_tables(store, code, 0), "tables")
+    table = lm.whole(tables, 0)
+    got = lm.taught(lm.with_slots(store, tables, code, 0, broadcast), code, table if broadcast else None, 0)
+    want, seen, weights, size = mixing.untaught(code), 0, 0, 0
+    taught = []
+    for r in store.collect():
+        lines = [x for x, f in zip(lm.unpack_lines(r.lines, r.n), r.flags, strict=True) if f]
+        taught += [lines[a:b] for a, b in lm.groups(lines)]
+    want.maps = mixing.maps_from(sum(mixing.observed(x, code, table) for x in taught))
+    assert np.allclose(got.maps, want.maps)
+    for x in taught:
+        w, s = mixing.teach(x, want, table)
+        n = sum(map(len, x)) + len(x)
+        weights, seen, size = weights + w * n, seen + s, size + n
+    assert np.allclose(got.weights, weights / size, atol=1e-5) and np.allclose(got.refined, mixing.refined_from(seen), atol=1e-5)
+
+
+def test_lm_leaves_out_exactly_what_a_line_counted():
+    lines = lines_of(60, 50, 8)
+    model, table = taught_model(lines)
+    found = mixing.decisions(lines, model.code)
+    state = mixing.looked_up(found, table, 0)
+    for slot, s, left in zip(found.slots, state, mixing.without_own(found, state), strict=True):
+        for k in range(0, len(s), 97):
+            own = (found.owner == found.owner[k]) & (slot == slot[k])
+            yes = int(found.bit[own].sum())
+            want = s[k] if s[k] >= mixing.FIRST_LARGE else mixing.states(np.array([max(mixing.NO[s[k]] - (int(own.sum()) - yes), 0)]).astype(int), np.array([max(mixing.YES[s[k]] - yes, 0)]).astype(int))[0]
+            assert left[k] == want
+
+
 # ------------------------------------------------------------ decontamination ----
 def test_decontamination(spark):
     rng = random.Random(2)
