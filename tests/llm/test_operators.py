@@ -542,6 +542,41 @@ def test_recall_of_paraphrases_against_brute_force(spark, replaced):
     assert all(k == i - 10**6 for i, k in got if i >= 10**6)
 
 
+def searcher(spark):
+    docs = spark.read.parquet(DOCS).select("doc_id", "text")
+    bench = spark.read.parquet(DOCS.replace("documents", "benchmark"))
+    items = decontamination.passages([(r.item_id, r.text) for r in bench.collect()])
+    return decontamination.Searcher(items, *decontamination.latent_space(docs, decontamination.passage_table(bench))), [r.text for r in docs.collect()]
+
+
+def test_words_are_compared_only_where_the_answer_check_may_succeed(spark, monkeypatch):
+    """Nearly all windows of unrelated text fail the answer check; hashes tell so without losing a find."""
+    search, texts = searcher(spark)
+    asked, decide = [], search._decide
+    monkeypatch.setattr(search, "_decide", lambda words, q, *rest: (asked.append((words, q)), decide(words, q, *rest)))
+    got = search.found(texts)
+    near = sum(len(t) for at in range(0, len(texts), 50) for t, *_ in search.candidates(decontamination.features(texts[at : at + 50])))
+    assert any(got) and len(asked) < near / 3
+    search.enough[:] = 0  # every candidate is asked
+    assert search.found(texts) == got and len(asked) > near
+
+
+def test_windows_against_sums_word_by_word(spark):
+    search, texts = searcher(spark)
+    feats = decontamination.features([texts[0], None, "one", *texts[1:40]])
+    for length, which, query in search.classes:
+        got = {(int(t), int(q), int(a), int(b)): c for x in search.candidates(feats) for t, q, a, b, c in zip(*x, strict=True) if q in which}
+        want = {}
+        for t, f in enumerate(feats):
+            last, step = -(-len(f) // 2) * 2, max(1, length // 8) * 2
+            for a in sorted({*range(0, max(last - length, 0), step), max(last - length, 0)}):
+                v = search.vectors[f[a : a + length]].astype(float).sum(axis=0)
+                for q, c in zip(which.tolist(), (v / max(np.linalg.norm(v), 1e-9)) @ query, strict=True):
+                    want[t, q, a, min(a + length, len(f))] = c
+        assert got.keys() <= want.keys() and all(abs(want[k] - c) < 1e-4 for k, c in got.items())
+        assert all(k in got for k, c in want.items() if c >= decontamination.COSINE + 1e-4)
+
+
 def test_words_and_their_features():
     texts = ["A b_c d1, É'x", None, "", "...", "naïve-naïve ß", "x" * 50, "\ud800 lone", " lead trail "]
     for t, f in zip(texts, decontamination.features(texts), strict=True):
