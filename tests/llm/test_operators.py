@@ -486,6 +486,47 @@ def test_lm_leaves_out_exactly_what_a_line_counted():
             assert left[k] == want
 
 
+def test_lm_equal_slots_of_a_line_stand_together(monkeypatch):
+    """Whether or not owner, slot and place fit one number."""
+    rng = np.random.default_rng(3)
+    for top in (1 << 22, 1 << 40, 1 << 62):
+        owner, slot = rng.integers(0, 50, 3000).astype(np.int32), rng.choice(rng.integers(0, top, 40), 3000).astype(np.uint64)
+        where, first = mixing.together(owner, slot)
+        got = [list(zip(owner[where[a:b]].tolist(), slot[where[a:b]].tolist(), strict=True)) for a, b in zip(first, [*first[1:], len(where)], strict=True)]
+        assert sorted(where.tolist()) == list(range(3000)) and all(len(set(x)) == 1 for x in got)
+        assert len(got) == len({x[0] for x in got}) == len(set(zip(owner.tolist(), slot.tolist(), strict=True)))
+
+
+def test_lm_merged_counts():
+    rng = np.random.default_rng(4)
+    for kind, most in ((np.uint32, 1 << 31), (np.uint64, 1 << 62)):
+        keys = rng.choice(rng.integers(0, most, 50), 2000).astype(kind)
+        counts = rng.integers(1, 1 << 20, 2000).astype(np.uint32)
+        got, sums = lm.merged([(keys[:900], counts[:900]), (keys[900:], counts[900:])])
+        assert got.dtype == kind and got.tolist() == sorted(set(keys.tolist()))
+        assert sums.tolist() == [int(counts[keys == k].sum()) for k in got]
+
+
+def test_lm_lesson_against_plain_steps():
+    """Gated weights and refinement step by step."""
+    lines = lines_of(60, 200, 6)
+    model, table = taught_model(lines)
+    got, seen = mixing.teach(lines, model, table)
+    found = mixing.decisions(lines, model.code)
+    x, gate = mixing.inputs(found, mixing.without_own(found, mixing.looked_up(found, table, 0)), model)
+    x, weights, cells = np.stack(x, 1).astype(float), model.weights.astype(float), np.zeros((mixing.LEVELS, 2))
+    for epoch in range(mixing.EPOCHS):
+        for a in range(0, len(gate), mixing.LESSON):
+            g, y, each = gate[a : a + mixing.LESSON], found.bit[a : a + mixing.LESSON].astype(float), x[a : a + mixing.LESSON]
+            dot = np.clip((weights[g] * each).sum(axis=1), -8, 8)
+            for k in set(g.tolist()):
+                weights[k] += mixing.LEARN_RATE / np.sqrt((g == k).sum()) / (1 + epoch) * ((y - 1 / (1 + np.exp(-dot)))[g == k] @ each[g == k])
+            if epoch == mixing.EPOCHS - 1:
+                np.add.at(cells, (dot * ((mixing.LEVELS - 1.01) / 16) + mixing.LEVELS / 2).astype(int), np.stack([np.ones(len(y)), y], 1))
+    assert np.allclose(got, weights, atol=1e-3) and seen[:, 0].sum() == len(gate)
+    assert np.abs(seen - cells).sum() <= 2e-3 * cells.sum() + 4
+
+
 # ------------------------------------------------------------ decontamination ----
 def test_decontamination(spark):
     rng = random.Random(2)
