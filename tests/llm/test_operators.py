@@ -411,6 +411,26 @@ def test_lm_leaves_a_line_out_of_its_own_lesson():
     assert (mixing.NO + mixing.YES)[left[2][found.owner == 1]].min() >= 1
 
 
+def test_lm_lessons_side_by_side_are_lessons_apart():
+    model, table = taught_model(lines_of(300, 60, 6))
+    classes = [lines_of(n, 90, seed) for n, seed in ((40, 1), (0, 2), (150, 3), (1, 4))]
+    weights, seen = mixing.teach_apart(classes, model, table)
+    apart = [mixing.teach(lines, model, table) for lines in classes]
+    assert np.allclose(weights, [w for w, _ in apart], atol=1e-5) and seen.sum() == sum(s.sum() for _, s in apart)
+    assert len({w.tobytes() for w in weights}) == 4
+
+
+@pytest.mark.parametrize("grow", [0, 9])
+def test_lm_nodes_of_a_context_share_lines_but_no_slot(grow):
+    kind, node = mixing.hash_type(grow), np.arange(3 * mixing.NODES)
+    for h in (0, 1, 0x1234567):
+        context = np.full(1, h, kind) * mixing.factor(kind)
+        slot = mixing.slots_of(context, np.zeros(len(node), np.int64), *mixing.turned(node, kind), 20 + grow)
+        line = slot.reshape(-1, mixing.LINE) // kind(mixing.LINE)
+        assert (line == line[:, :1]).all() and all(len(set(x)) == mixing.LINE for x in slot.reshape(-1, mixing.LINE).tolist())
+        assert len(set(line[:, 0].tolist())) > 1
+
+
 def test_lm_learning_pays_on_held_out_text():
     """Gated weights and maps learned, then online updates: each lowers the cost of unseen lines."""
     text = lines_of(900, 60, 5)
